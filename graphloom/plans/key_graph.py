@@ -68,10 +68,10 @@ inherited AS (
   SELECT refs.* FROM refs
   WHERE ref <> '' AND EXISTS (SELECT 1 FROM direct d WHERE d.table_name = refs.parent AND d.doc_id = refs.doc_id AND d.record_id = refs.ref)
   AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.table_name = refs.table_name AND d.field_name = refs.field_name AND d.doc_id = refs.doc_id AND d.record_id = refs.record_id)),
-both AS (SELECT *, 0 AS level FROM direct UNION ALL SELECT *, 1 FROM inherited)
+together AS (SELECT *, 0 AS level FROM direct UNION ALL SELECT *, 1 FROM inherited)
 SELECT table_name, field_name, period, count(*) FILTER (level = 0) AS direct_orphans, count(*) FILTER (level > 0) AS inherited_orphans,
   CAST(max(level) AS INT) AS deepest_level
-FROM both GROUP BY ALL
+FROM together GROUP BY ALL
 """
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
