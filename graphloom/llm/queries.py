@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.cooccurrence import cooccurrence
 from graphloom.llm.encoding import round_trip, token_ids
 from graphloom.llm.frequency import document_count, marked, term_frequency
+from graphloom.llm.near_duplicates import NearDuplicates
 from graphloom.llm.split import split_texts
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.util import read, small
@@ -27,6 +28,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(rows, "doc_id", "source_text", 4000, 200).where("n_pieces > 1").select("doc_id").distinct()
 
 
+def _related(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(read(spark, sf_dir, "extraction_requests"), "doc_id", "source_text", k=3, percent=70, min_words=20)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of requests with at least 70 % of their runs of three words in common."""
+    return _related(spark, sf_dir).row_pairs()
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request of 20 words or more with its class of equal texts, its group and its number of links."""
+    return _related(spark, sf_dir).groups()
+
+
 def _type_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "ontology_entity_types").select("id").union(read(spark, sf_dir, "ontology_relation_types").select("id")).distinct()
     rows = [read(spark, sf_dir, t).select("doc_id", F.col("ontology_type").alias("id")) for t in ("cast_entities", "cast_relations")]
@@ -76,6 +91,7 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_pairs": p5_pairs,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
+    "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
 }

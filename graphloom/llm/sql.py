@@ -2,6 +2,17 @@
 
 P3_FOUND = "SELECT DISTINCT doc_id FROM extraction_requests WHERE length(source_text) > 4000"
 
+P4_FOUND = """
+WITH words AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(source_text), '[a-z0-9]+') AS w FROM extraction_requests),
+runs AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
+n AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id_a, doc_id_b FROM shared JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 100 * k >= 70 * (x.n + y.n - k)
+"""
+
 _P5 = """
 WITH known AS (SELECT id FROM ontology_entity_types UNION SELECT id FROM ontology_relation_types),
 items AS (
@@ -50,4 +61,4 @@ marks AS (
 P7_TERMS = _P7 + "SELECT field_name, field_value, n_records, n_docs, mark FROM marks"
 P7_FOUND = _P7 + "SELECT field_name, field_value, mark FROM marks WHERE mark <> ''"
 
-SQL = {"p3_found": P3_FOUND, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p7_found": P7_FOUND, "p7_terms": P7_TERMS}
+SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p7_found": P7_FOUND, "p7_terms": P7_TERMS}
