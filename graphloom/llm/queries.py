@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.canonical import aliases_of, map_values
 from graphloom.llm.cooccurrence import cooccurrence
 from graphloom.llm.encoding import round_trip, token_ids
 from graphloom.llm.frequency import document_count, marked, term_frequency
@@ -60,6 +61,36 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _type_pairs(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("lift", "llr")})
 
 
+FREE_TYPES = {"entities": ("entity_id", "free_type"), "relations": ("relation_id", "free_type"), "cast_entities": ("entity_id", "ontology_type")}
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with a value that is no id of its list, with the id of the entry meant."""
+    kinds = read(spark, sf_dir, "ontology_entity_types")
+    ties = read(spark, sf_dir, "ontology_relation_types")
+    lists = {"entities": aliases_of(kinds, "id", ["label"], ["synonyms"]), "relations": aliases_of(ties, "id", ["label"])}
+    lists["cast_entities"] = lists["entities"]
+    out = None
+    for table, (record, value) in FREE_TYPES.items():
+        known = sorted({e for e, _ in lists[table]})
+        rows = read(spark, sf_dir, table).select(F.lit(table).alias("table_name"), F.col(record).alias("record_id"), F.col(value).alias("value"))
+        # copies are equal in everything, so they meet before the values are mapped
+        rows = rows.where(F.col("record_id").isNotNull() & ~F.col("value").rlike(r"^[\s\h\x{85}\x{2028}\x{2029}]*$") & ~F.col("value").isin(known)).distinct()
+        part = map_values(rows, "value", lists[table])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose type is freely written, with the id of the entry meant or ''."""
+    return _mapped(spark, sf_dir).select("table_name", "record_id", "type_id").distinct()
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that mean no entry, with their number of records."""
+    return _mapped(spark, sf_dir).where("type_id = ''").groupBy("table_name", "value").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 FIELDS = {"entities": ("entity_id", ["free_type", "mention_text"]), "relations": ("relation_id", ["free_type"])}
 
 
@@ -93,5 +124,5 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
 }
