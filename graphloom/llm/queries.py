@@ -10,6 +10,7 @@ from graphloom.llm.cooccurrence import cooccurrence
 from graphloom.llm.encoding import round_trip, token_ids
 from graphloom.llm.frequency import document_count, marked, term_frequency
 from graphloom.llm.near_duplicates import NearDuplicates
+from graphloom.llm.one_form import consistent
 from graphloom.llm.split import split_texts
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.util import read, small
@@ -17,6 +18,19 @@ from graphloom.util import read, small
 TYPE_LIMIT = 10_000  # rows of an ontology table up to which it is broadcast
 
 
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity's mention_text and evidence in the consistent form. Copies count once."""
+    rows = consistent(read(spark, sf_dir, "entities").select("entity_id", "mention_text", "evidence"), ["mention_text", "evidence"])
+    return rows.select("entity_id", F.col("mention_text_form").alias("mention_text"), F.col("evidence_form").alias("evidence")).distinct()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that differ from their consistent form."""
+    rows = consistent(read(spark, sf_dir, "entities").select("entity_id", "mention_text", "evidence"), ["mention_text", "evidence"])
+    cases = [F.when(F.col(f) != F.col(f"{f}_form"), F.lit(f)) for f in ("mention_text", "evidence")]
+    return rows.select("entity_id", F.explode(F.array_compact(F.array(*cases))).alias("field_name")).distinct()
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every source_text: at most 4,000 characters, up to 200 of overlap. Copies of a request count once."""
     rows = read(spark, sf_dir, "extraction_requests").select("doc_id", "source_text").dropDuplicates(["doc_id"])
@@ -122,6 +136,7 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_forms": p1_forms,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
