@@ -11,6 +11,7 @@ from graphloom.llm.encoding import round_trip, token_ids
 from graphloom.llm.frequency import document_count, marked, term_frequency
 from graphloom.llm.near_duplicates import NearDuplicates
 from graphloom.llm.one_form import consistent
+from graphloom.llm.spam import spam, spam_scores
 from graphloom.llm.split import split_texts
 from graphloom.llm.sql import SQL  # noqa: F401
 from graphloom.util import read, small
@@ -135,9 +136,19 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are keyword, link, navigation or tag lists inside cues."""
+    return spam(read(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, robust distance and listed share of every document with words."""
+    return spam_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip,
+    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_scores": p10_scores,
 }
