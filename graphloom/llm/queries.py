@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.canonical import aliases_of, map_values
 from graphloom.llm.cooccurrence import cooccurrence
-from graphloom.llm.encoding import round_trip, token_ids
+from graphloom.llm.encoding import round_trip, token_counts, token_ids
 from graphloom.llm.frequency import document_count, marked, term_frequency
+from graphloom.llm.mixture import Mixture
 from graphloom.llm.near_duplicates import NearDuplicates
 from graphloom.llm.one_form import consistent
 from graphloom.llm.spam import spam, spam_scores
 from graphloom.llm.split import split_texts
 from graphloom.llm.sql import SQL  # noqa: F401
-from graphloom.util import read, small
+from graphloom.util import cut, read, small
 
 TYPE_LIMIT = 10_000  # rows of an ontology table up to which it is broadcast
 
@@ -136,6 +137,21 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    sizes = cut(token_counts(read(spark, sf_dir, "documents"), ["doc_id", "source"]))
+    return Mixture(sizes, read(spark, sf_dir, "mixture_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of a listed source with its tokens and how often the mixture uses it."""
+    return _mixture(spark, sf_dir).rows
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of tokens of every listed source."""
+    return _mixture(spark, sf_dir).report()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are keyword, link, navigation or tag lists inside cues."""
     return spam(read(spark, sf_dir, "documents"))
@@ -150,5 +166,6 @@ QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_scores": p10_scores,
+    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p10_found": p10_found, "p10_scores": p10_scores,
 }
