@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def vocabulary(df: DataFrame, path: str):
 
 def pieces(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most about CHUNK bytes of text each (a longer text comes alone)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     part = np.cumsum(sizes) // CHUNK
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows] if len(part) else [0]
     for a, b in zip(cuts, cuts[1:]):
