@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,6 @@ COMMON = 0.1  # a word is a function word of a language if so many of its docume
 LANGUAGES, LEAST = 100, 30  # languages scaled on their own, and the documents each needs; the others are pooled
 
 _EDGES = chr(0xFEFF) + " \t"
-CUE = re.compile(r"^(?:[^\w\n]?\d*[ \t]*\n)?[^\n]*-->[^\n]*$", re.M)
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 EFFECT = re.compile(r"\[[^\]\n]*\]|\([^)\n]*\)|\*[^*\n]*[^\W_]{3}[^*\n]*\*")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -39,80 +39,82 @@ LEET = str.maketrans("430157", "aeoist")  # fixed values: digits written for let
 LINK = re.compile(
     r"(?:https?|hxxps?)://\S*|\bwww\.\S*|\b[\w-]{2,}\s?(?:\.|\[\.\]|\(\.\)|\bdot\b)\s?(?:com|net|org|info|biz|io|co|shop|store|online|site|club|top|xyz|eu|uk|de|fr|es|ru|cn|example|test|invalid)\b(?:/\S*)?", re.I
 )
+LINKISH = re.compile(r"://|www\.|(?:\.|\]|\)|\bdot)\s?(?:com|net|org|info|biz|io|co|shop|store|online|site|club|top|xyz|eu|uk|de|fr|es|ru|cn|example|test|invalid)\b", re.I)
 PRICE = re.compile(r"(?<!\w)[A-Z]{2,}-?\d+\b|\d+[.,]\d\d(?!\d)|[$€£¥]\s?\d|\d\s?[$€£¥%]|\*{3,}")
-ENDED = re.compile(r"[.!?…][\"'”»)♪\s-]*$")
+SONG = chr(0x266A)
+CLOSING, ENDING = " \"'-)" + "".join(map(chr, (0x201D, 0x2019, 0xBB, 0x266A))), ".!?" + chr(0x2026)  # fixed values
+MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
 
 
 def cue_lines(text: str) -> list[str]:
     """Lines of the cue texts, numbers, times and markup aside."""
-    text = CUE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text or "{" in text:
         text = MARKUP.sub("", text)
-    return [s for line in text.split("\n") if (s := line.strip(_EDGES)) and not s.isdigit() and not s.startswith("WEBVTT")]
-
-
-def tokens(line: str) -> list[str]:
-    """Lower-cased words, with hidden signs dropped, set-apart letters joined and digits in words read as letters."""
-    if not line.isascii():
-        line = HIDDEN.sub("", line)
-    if APART.search(line):
-        line = APART.sub(lambda m: m.group()[:: 1 + len(m.group(1))], line)
-    line = line.lower()
-    if DIGITS.search(line):
-        line = DIGITS.sub(lambda m: m.group().translate(LEET), line)
-    return WORD.findall(line)
+    return [s for line in text.split("\n") if (s := line.strip(_EDGES)) and "-->" not in s and not s.isdigit() and not s.startswith("WEBVTT")]
+
+
+def tokens(lines: list[str]) -> list[list[str]]:
+    """Lower-cased words of each line: hidden signs dropped, set-apart letters joined, digits in words read as letters, effects left out."""
+    body = "\n".join(lines)
+    if not body.isascii() and HIDDEN.search(body):
+        body = HIDDEN.sub("", body)
+    if "[" in body or "(" in body or "*" in body:
+        body = EFFECT.sub(" ", body)
+    body = body.lower()
+    if MIXED.search(body):
+        body = DIGITS.sub(lambda m: m.group().translate(LEET), body)
+    words = [WORD.findall(line) for line in body.split("\n")]
+    alone = sum(len(w) == 1 for ws in words for w in ws)
+    if alone * 5 > sum(map(len, words)) and APART.search(body):  # many letters stand alone
+        words = [WORD.findall(line) for line in APART.sub(lambda m: m.group()[:: 1 + len(m.group(1))], body).split("\n")]
+    return words
 
 
 def measure(text: str, common: frozenset[str]) -> tuple[list[float], float] | None:
     """Features, and the share of the cue characters that is listed rather than spoken; None for a text without words."""
     lines = cue_lines(text)
-    total = sum(map(len, lines))
-    words, counts = [], Counter()
-    for line in lines:
-        spoken = EFFECT.sub(" ", line) if "[" in line or "(" in line or "*" in line else line
-        w = tokens(spoken)
-        words.append(w)
-        counts.update(w)
+    words = tokens(lines)
+    counts = Counter(chain.from_iterable(words))
     n = sum(counts.values())
     if not n:
         return None
+    body = "\n".join(lines)
+    total = len(body) - len(lines) + 1
+    known = {w for w in counts if w in common}
     least = max(3.0, 0.015 * n)
-    keys = {w for w, k in counts.items() if k >= least and w not in common}
+    keys = {w for w, k in counts.items() if k >= least and w not in known}
+    links, prices, hashes = bool(LINKISH.search(body)), bool(PRICE.search(body)), "#" in body
     listed = tagged = open_ended = 0
     for line, w in zip(lines, words):
-        size = len(line)
         if not w:
             continue
-        known = sum(x in common for x in w)
-        ended = bool(ENDED.search(line))
+        size = len(line)
+        last = line.rstrip(CLOSING)[-1:]
+        ended = last in ENDING and last != ""
         if not ended:
             open_ended += size
-        if "." in line or "://" in line or " dot " in line:
-            if links := LINK.findall(line):
-                tagged += size
-                rest = LINK.sub(" ", line)
-                if len(WORD.findall(rest)) <= 2 * len(links) or not known and not ended:
-                    listed += size
-                continue
-        if line.count("#") * 2 >= len(line.split()):
+        if links and (found := LINK.findall(line)):
+            tagged += size
+            if len(WORD.findall(LINK.sub(" ", line))) <= 2 * len(found) or not ended and known.isdisjoint(w):
+                listed += size
+            continue
+        if hashes and line.count("#") * 2 >= len(line.split()):
             listed, tagged = listed + size, tagged + size
             continue
-        if PRICE.search(line):
+        if prices and PRICE.search(line):
             tagged += size
-            if not known and not ended:
+            if not ended and known.isdisjoint(w):
                 listed += size
                 continue
-        if keys:
-            hits = sum(x in keys for x in w)
-            if 2 * hits >= len(w):
-                called = len(set(w)) == 1 and line.rstrip(' "”»').endswith("!")  # a name called out, a chant
-                if ended and (called or len(w) < 4) or "♪" in line:
-                    continue
+        if not keys.isdisjoint(w) and 2 * sum(x in keys for x in w) >= len(w):
+            called = last == "!" and len(set(w)) == 1  # a name called out, a chant
+            if not (ended and (called or len(w) < 4) or SONG in line):
                 listed += size
-    entropy = -sum(k / n * math.log(k / n) for k in counts.values()) / math.log(max(n, 2))
+    entropy = (math.log(n) - sum(k * math.log(k) for k in counts.values() if k > 1) / n) / math.log(max(n, 2))
     repeated = sum(counts[w] for w in keys) / n
-    known = sum(k for w, k in counts.items() if w in common) / n
-    return [open_ended / total, tagged / total, entropy, repeated, known], listed / total
+    return [open_ended / total, tagged / total, entropy, repeated, sum(counts[w] for w in known) / n], listed / total
 
 
 def _language(column: str) -> Column:
