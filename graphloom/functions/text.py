@@ -22,8 +22,8 @@ def is_blank(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Number of runs of other than white space; null for null."""
-    return F.size(F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")).cast("int")
+    """Number of runs of other than white space; a null text has none."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), f"{SPACE}+"), lambda x: x != "")).cast("int")
 
 
 def target_entities(words: Column, per_word: Column) -> Column:
@@ -38,8 +38,8 @@ def target_relations(entities: Column, per_entity: Column) -> Column:
 
 
 def sentence_count(c: Column) -> Column:
-    """Pieces of the stripped text cut after '.', '!' or '?' and white space; blank text has none."""
-    return F.size(F.filter(F.split(strip(c), rf"(?<=[.!?]){SPACE}+"), lambda x: x != "")).cast("int")
+    """Pieces of the stripped text cut after '.', '!' or '?' and white space; blank or null text has none."""
+    return F.size(F.filter(F.split(strip(F.coalesce(c, F.lit(""))), rf"(?<=[.!?]){SPACE}+"), lambda x: x != "")).cast("int")
 
 
 def sha256(c: Column) -> Column:
