@@ -86,6 +86,7 @@ def edge_importance(edges: DataFrame, scores: DataFrame) -> DataFrame:
     e = edges.withColumn("type", F.coalesce("type", F.lit("")))
     into = e.groupBy("doc_id", F.col("target_id").alias("source_id"), F.col("type").alias("other")).agg(F.count(F.lit(1)).alias("k"))
     out = e.groupBy("doc_id", F.col("source_id").alias("target_id"), F.col("type").alias("other")).agg(F.count(F.lit(1)).alias("k"))
-    first = e.join(out, ["doc_id", "target_id"]).select("doc_id", "relation_id", F.concat("type", F.lit(">"), "other").alias("motif"), "k")
-    second = e.join(into, ["doc_id", "source_id"]).select("doc_id", "relation_id", F.concat("other", F.lit(">"), "type").alias("motif"), "k")
-    return first.union(second).join(scores, "motif").groupBy("doc_id", "relation_id").agg(F.sum(F.col("k") * F.col("score")).alias("importance"))
+    k = F.col("k") - F.when((F.col("source_id") == F.col("target_id")) & (F.col("other") == F.col("type")), 1).otherwise(0)  # a loop doesn't meet itself
+    first = e.join(out, ["doc_id", "target_id"]).select("doc_id", "relation_id", F.concat("type", F.lit(">"), "other").alias("motif"), k.alias("k"))
+    second = e.join(into, ["doc_id", "source_id"]).select("doc_id", "relation_id", F.concat("other", F.lit(">"), "type").alias("motif"), k.alias("k"))
+    return first.union(second).where("k > 0").join(scores, "motif").groupBy("doc_id", "relation_id").agg(F.sum(F.col("k") * F.col("score")).alias("importance"))
