@@ -70,7 +70,7 @@ def bands_for(threshold: float, rows: int, miss: float = 1e-5) -> int:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, k: int, min_words: int) -> DataFrame:
-    """(key, class_id, shingles): texts with the same class_id have the same shingle set. Null and short texts give no row."""
+    """(key, digest, shingles): texts with the same digest have the same shingle set. Null and short texts give no row."""
     rows = df.select(key, text).where(f"`{text}` is not null and `{key}` is not null")
 
     def run(batches):
@@ -86,14 +86,15 @@ def shingle_sets(df: DataFrame, key: str, text: str, k: int, min_words: int) ->
                         sets.append(s.view(np.int64))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.array([], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema[0].type), pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "class_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema[0].type), pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "digest", "shingles"])
 
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, class_id string, shingles array<long>")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, digest string, shingles array<long>")
 
 
 def _band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """(class_id, band, bucket) for every band of every class."""
     permutations = -(-bands * rows // 2)
+    kind = sets.schema["class_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -113,7 +114,7 @@ def _band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
                     names=["class_id", "band", "bucket"],
                 )
 
-    return sets.select("class_id", "shingles").mapInArrow(run, "class_id string, band int, bucket long")
+    return sets.select("class_id", "shingles").mapInArrow(run, f"class_id {kind}, band int, bucket long")
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +154,7 @@ def class_pairs(sets: DataFrame, percent: int, rows: int = 4, bucket: int = BUCK
 
 
 class NearDuplicates:
-    """members: (key, class_id) of every text; pairs: the similar classes; both checkpointed.
+    """members: (key, class_id) of every text, class_id being the least key of the texts with its shingle set; pairs: the similar classes.
 
     Texts under `min_words` words and null texts take no part; a key delivered again with the same text counts once.
     """
@@ -161,9 +162,10 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, text: str, k: int = 5, percent: int = 80, min_words: int = 0, bucket: int = BUCKET):
         self.key = key
         sets = cut(shingle_sets(df, key, text, k, min_words))
-        self.members = sets.select(key, "class_id").distinct()
-        self.classes = cut(sets.groupBy("class_id").agg(F.first("shingles").alias("shingles")))
-        self.pairs = cut(class_pairs(self.classes, percent, bucket=bucket))
+        known = sets.groupBy("digest").agg(F.min(key).alias("class_id"), F.first("shingles").alias("shingles"))
+        self.classes = cut(known)
+        self.members = sets.select(key, "digest").distinct().join(self.classes.select("digest", "class_id"), "digest").select(key, "class_id")
+        self.pairs = cut(class_pairs(self.classes.select("class_id", "shingles"), percent, bucket=bucket))
 
     def row_pairs(self) -> DataFrame:
         """(key_a, key_b), key_a < key_b: every two rows that are similar, copies expanded. As large as the result asks for."""
@@ -180,11 +182,10 @@ class NearDuplicates:
         n_class: rows with the same shingle set; n_links: other rows similar to this one.
         """
         k = self.key
-        sizes = self.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"), F.min(k).alias("least"))
+        sizes = self.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_class"))
         both = self.pairs.select("a", "b").union(self.pairs.select("b", "a"))
         links = both.join(sizes.select(F.col("class_id").alias("b"), "n_class"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n_class").alias("others"))
         stars = star_components(self.pairs).withColumnRenamed("node", "class_id")
         known = sizes.join(stars, "class_id", "left").join(links, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-        ids = known.groupBy("component").agg(F.min("least").alias("group_id"))
-        known = known.join(ids, "component").select("class_id", "group_id", "n_class", (F.col("n_class") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        known = known.select("class_id", F.col("component").alias("group_id"), "n_class", (F.col("n_class") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
         return self.members.join(known, "class_id").select(k, "class_id", "group_id", "n_class", "n_links")
