@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The characters that Python's str.split, str.strip and \s take for white space, as a Java character class.
 _CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -81,19 +82,19 @@ def degree_limit(nodes: Column, fraction: float) -> Column:
     return F.greatest(F.lit(2), (F.lit(fraction) * (nodes - 1)).cast("int"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed3(values: pd.Series) -> pd.Series:
     """Three decimals of the exact binary value, ties to even; no built-in formats so. Only for message texts."""
     return values.map(lambda v: None if v is None or pd.isna(v) else f"{v:.3f}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted(values: pd.Series) -> pd.Series:
     """Python's repr of a string. Only for message texts."""
     return values.map(lambda v: None if v is None else repr(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted_list(values: pd.Series) -> pd.Series:
     """Python's repr of a list of strings. Only for message texts."""
     return values.map(lambda v: None if v is None else repr([str(x) for x in v]))

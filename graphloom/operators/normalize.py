@@ -80,5 +80,6 @@ def normalize(entities: DataFrame, relations: DataFrame, components: DataFrame,
 def id_lists(fate: DataFrame, key: str) -> DataFrame:
     """(doc_id, retained_ids, discarded_ids) in input order, for documents that are looked at one by one."""
     rows = F.sort_array(F.collect_list(F.struct("ord", F.col(key).alias("id"), "retained")))
-    pick = [F.transform(F.filter("x", lambda r, k=k: r["retained"] == k), lambda r: r["id"]).alias(f"{n}_ids") for k, n in ((True, "retained"), (False, "discarded"))]
+    kept, gone = F.filter("x", lambda r: r["retained"]), F.filter("x", lambda r: ~r["retained"])
+    pick = [F.transform(c, lambda r: r["id"]).alias(f"{n}_ids") for c, n in ((kept, "retained"), (gone, "discarded"))]
     return fate.groupBy("doc_id").agg(rows.alias("x")).select("doc_id", *pick)

@@ -79,12 +79,22 @@ class Pipeline:
             failed.append(bad)
             return bad.select("doc_id").distinct()
 
+        def refused(*tables: DataFrame) -> list[DataFrame]:
+            """Documents whose answer the extractor has refused since the last call go no further."""
+            problems = getattr(self.extractor, "problems", [])
+            while problems:
+                q = problems.pop()
+                failed.append(q)
+                tables = without(q.select("doc_id").distinct(), *tables)
+            return list(tables)
+
         def without(bad: DataFrame, *tables: DataFrame) -> list[DataFrame]:
             return [t.join(bad, "doc_id", "left_anti") for t in tables]
 
         blank = fail(docs.where(is_blank(F.col("text"))).withColumns({"code": F.lit("BLANK_TEXT"), "detail": F.lit("")}), "input")
         (live,) = without(blank, requests(docs, s.extraction_density))
         raw_e, raw_r = (cut(t) for t in self.extractor.extract(live))
+        live, raw_e, raw_r = refused(live, raw_e, raw_r)
         bad = fail(first_issues(extraction_issues(raw_e, raw_r)), "extraction")
         live, e, r = without(bad, live, raw_e, raw_r)
         parts = cut(weak_components(e.select("doc_id", "entity_id"), r.select("doc_id", "source_id", "target_id")))
@@ -99,6 +109,7 @@ class Pipeline:
             bad = fail(normal_report.where("not valid").withColumns({"code": F.lit("INVALID_GRAPH"), "detail": F.array_join("issues", "; ")}), "normalization")
             live, e, r = without(bad, live, e, r)
         cast_e, cast_r = (cut(t) for t in self.extractor.cast(live, e, r))
+        live, e, r, cast_e, cast_r = refused(live, e, r, cast_e, cast_r)
         bad = fail(first_issues(casting_issues(e, r, cast_e, cast_r, kinds, ties)), "casting")
         live, e, r, cast_e, cast_r = without(bad, live, e, r, cast_e, cast_r)
         nodes, edges = cut(build_nodes(e, cast_e)), cut(build_edges(r, cast_r))
@@ -112,11 +123,11 @@ class Pipeline:
         contexts = None
         if CONTEXT_ALIASES.get(s.context_policy, s.context_policy) == "all_nodes":
             contexts = cut(trimmed(self.extractor.contexts(live, node_requests(nodes, edges)), s.node_context))
+            live, nodes, edges, contexts = refused(live, nodes, edges, contexts)
             bad = fail(first_issues(context_issues(contexts, nodes, s.node_context)).withColumn("detail", F.concat_ws(" ", "subject", "detail")), "contexts")
             live, nodes, edges, contexts = without(bad, live, nodes, edges, contexts)
             nodes = annotated(nodes, contexts)
         runs = live.select("doc_id", F.lit(s.model).alias("model"), sha256(F.col("text")).alias("source_sha256"), F.lit(self.prompt.sha256()).alias("prompt_sha256"))
-        failed += getattr(self.extractor, "problems", [])
         quarantine = failed[0]
         for f in failed[1:]:
             quarantine = quarantine.unionByName(f)
