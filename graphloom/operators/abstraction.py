@@ -27,6 +27,19 @@ def clusters(vectors: DataFrame, column: str, k: int = 10, seed: int = 17) -> tu
     return model.transform(rows).drop("__v"), vectors.sparkSession.createDataFrame(centres, "concept_id int, centroid array<double>")
 
 
+def motif_vectors(features: DataFrame, motifs: list[str]) -> DataFrame:
+    """(doc_id, vector): the counts of the given motifs per document, scaled to length 1, for clusters by structure. At most 1,000 motifs.
+
+    Documents with none of them get a zero vector.
+    """
+    if len(motifs) > 1_000:
+        raise ValueError("over 1,000 motifs")
+    counts = features.groupBy("doc_id").agg(*(F.sum(F.when(F.col("motif") == m, F.col("n")).otherwise(0)).cast("double").alias(f"m{i}") for i, m in enumerate(motifs)))
+    raw = F.array(*(F.col(f"m{i}") for i in range(len(motifs))))
+    norm = F.sqrt(dot_product(raw, raw))
+    return counts.select("doc_id", F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw).alias("vector"))
+
+
 def recognise(vectors: DataFrame, column: str, centroids: DataFrame, least: float = -1.0) -> DataFrame:
     """`vectors` with the concept of the closest centroid by cosine and the similarity; null under `least` or for a null vector.
 

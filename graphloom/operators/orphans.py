@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.util import cut
+from graphloom.util import cut, frequent
 
 MAX_HOT = 1_000  # references looked up in a broadcast table, see _lookup
 HOT_SHARE = 2_000  # a reference is hot when it has at least one row in so many
@@ -94,10 +94,8 @@ def _lookup(refs: DataFrame, parents: DataFrame, scope: list[str], hot: list | N
 
 def _hot(table: Table, fks: list[ForeignKey]) -> dict[str, list]:
     """Per reference column its hot values, by a frequent-items sketch over all rows (state bounded by MAX_HOT, no shuffle of rows)."""
-    cols = {k.column for k in fks}
-    aggs = [F.expr(f"approx_top_k(if(octet_length(`{c}`) <= 256, `{c}`, null), {MAX_HOT}, {8 * MAX_HOT})").alias(c) for c in cols]
-    got = table.df.agg(F.count(F.lit(1)).alias("__n"), *aggs).first()
-    return {c: [x["item"] for x in got[c] or [] if x["item"] and x["count"] * HOT_SHARE >= got["__n"]] for c in cols}
+    n, found = frequent(table.df, {c: F.when(F.octet_length(c) <= 256, F.col(c)) for c in sorted({k.column for k in fks})}, MAX_HOT)
+    return {c: [v for v, k in items if v and k * HOT_SHARE >= n] for c, items in found.items()}
 
 
 def direct_orphans(tables: dict[str, Table], fks: list[ForeignKey]) -> DataFrame:

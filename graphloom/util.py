@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Mark `df` for broadcast if it has at most `max_rows` rows, counted over `limit(max_rows + 1)`; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def frequent(df: DataFrame, keys: dict[str, Column], most: int, tracked: int = 8_192, mergers: int = 64) -> tuple[int, dict[str, list[tuple[str, int]]]]:
+    """The number of rows, and per key its at most `most` most frequent non-null values with their counts, as a sketch estimates them.
+
+    One pass over all rows; every task keeps a sketch of `tracked` values per key. Sketches are merged by `mergers` tasks and then by one, so
+    the last one gets as many sketches as there are mergers, however many tasks the input has. A value that is in more than about
+    rows / (0.75 * tracked) rows is never missed. Only the values found are collected.
+    """
+    cols = df.select(*(c.alias(f"k{i}") for i, c in enumerate(keys.values())))
+    sketch = [F.expr(f"approx_top_k_accumulate(k{i}, {tracked})").alias(f"s{i}") for i in range(len(keys))]
+    parts = cols.groupBy(F.pmod(F.spark_partition_id(), F.lit(mergers)).alias("m")).agg(F.count(F.lit(1)).alias("n"), *sketch)
+    last = [F.expr(f"approx_top_k_estimate(approx_top_k_combine(s{i}, {tracked}), {most})").alias(f"t{i}") for i in range(len(keys))]
+    got = parts.groupBy(F.lit(0).alias("all")).agg(F.sum("n").alias("n"), *last).first()  # grouped, for an empty table has no sketch to merge
+    if got is None:
+        return 0, {k: [] for k in keys}
+    return got["n"], {k: [(x["item"], x["count"]) for x in got[f"t{i}"] or [] if x["item"] is not None] for i, k in enumerate(keys)}

@@ -168,3 +168,39 @@ def test_levels(spark):
     assert {tuple(r) for r in n.collect()} == {(1, "2:x", 2), (1, "2:y", 1)}
     assert {tuple(r) for r in e.collect()} == {(1, "2:x", "2:y", "t", 1)}
     assert lineage.count() == 3
+
+
+def test_model_client():
+    from types import SimpleNamespace
+
+    from graphloom.config import Density
+    from graphloom.errors import MissingDependency
+    from graphloom.prompts import Prompt
+    from graphloom.sources.model import ModelClient, responses_sender
+
+    prompt = Prompt.default().render(ONTOLOGY, Density())
+    sent = []
+
+    def send(system, user):
+        sent.append((system, user))
+        return "{}" if "none" not in user else None
+
+    c = ModelClient(send, prompt, ONTOLOGY.prompt_schema())
+    assert c.extract('{"source_text": "é"}') == "{}" and sent[-1][0] == prompt.free_extraction_system
+    c.cast(json.dumps({"source_text": "x", "ontology": json.dumps(ONTOLOGY.prompt_schema())}))
+    assert json.loads(sent[-1][1])["ontology"] == ONTOLOGY.prompt_schema() and '", "' in sent[-1][1]
+    with pytest.raises(ValueError):
+        c.cast(json.dumps({"ontology": {}}))
+    c.contexts(json.dumps({"nodes": ['{"id": "é"}']}))
+    assert '"id": "é"' in sent[-1][1]
+    with pytest.raises(ResponseError):
+        c.extract("none")
+    with pytest.raises(ValueError):
+        ModelClient(send, Prompt.default(), {})
+    fake = SimpleNamespace(responses=SimpleNamespace(create=lambda model, input: SimpleNamespace(output_text=f"{model} {len(input)}")))
+    assert responses_sender("m", fake)("a", "b") == "m 2"
+    try:
+        import openai  # noqa: F401
+    except ImportError:
+        with pytest.raises(MissingDependency):
+            responses_sender("m")
