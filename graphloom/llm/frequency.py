@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY = 512  # most heavy terms per field; 512 keys of at most LONG bytes are broadcast
+from graphloom.util import frequent
+
+HEAVY = 2_048  # most heavy terms per field; as many keys of at most LONG bytes are broadcast
 TRACKED = 8_192  # items the sketch tracks
-SHARE = 1_000  # heavy: at least one row in so many
+SHARE = 5_000  # heavy: at least one row in so many
 LONG = 256  # bytes; longer terms are keyed by their digest
 
 
@@ -48,8 +50,8 @@ def term_frequency(df: DataFrame, term: str, record: str, doc: str = "doc_id", h
     """
     spark = df.sparkSession
     rows = df.select(F.col(term).alias("t"), F.col(doc).alias("d"), F.col(record).alias("r")).where("t <> ''").withColumn("k", _key("t"))
-    got = rows.agg(F.expr(f"approx_top_k(k, {max(1, heavy)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    terms = [x["item"] for x in got["top"] or [] if heavy and x["count"] * SHARE >= got["n"]]
+    n, found = frequent(rows, {"k": F.col("k")}, max(1, heavy), TRACKED)
+    terms = [k for k, count in found["k"] if heavy and count * SHARE >= n]
     light = rows.select("k", "d", "r")
     if terms:
         slots = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "slot int, k string"))

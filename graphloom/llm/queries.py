@@ -102,9 +102,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).select("table_name", "record_id", "type_id").distinct()
 
 
-def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that mean no entry, with their number of records."""
-    return _mapped(spark, sf_dir).where("type_id = ''").groupBy("table_name", "value").agg(F.count(F.lit(1)).alias("n_records"))
+def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every freely written value with the id of the entry meant, '' where it means none, and its number of records."""
+    return _mapped(spark, sf_dir).groupBy("table_name", "value", "type_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 FIELDS = {"entities": ("entity_id", ["free_type", "mention_text"]), "relations": ("relation_id", ["free_type"])}
@@ -166,6 +166,6 @@ QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p6_found": p6_found, "p6_values": p6_values, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_scores": p10_scores,
 }
