@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import ContextSettings
 
-HELD = 1_000  # relations listed per node and direction in a request; adjacency rows hold all of them
+HELD = 999  # relations listed per node and direction in a request; one more stays under the limit up to which tasks cut groups before the exchange
 
 
 def relation_rows(edges: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ UNION ALL SELECT doc_id, source_id, 'outgoing', ord, relation_id, target_id, coa
 , sides AS (SELECT doc_id, target_id AS entity_id, 'i' AS d, ord, relation_id FROM edges UNION ALL SELECT doc_id, source_id, 'o', ord, relation_id FROM edges),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_id, d ORDER BY ord, relation_id) AS k FROM sides),
 lists AS (
-  SELECT doc_id, entity_id, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'i' AND k <= 1000) AS i, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'o' AND k <= 1000) AS o, max(k) > 1000 AS over
+  SELECT doc_id, entity_id, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'i' AND k <= 999) AS i, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'o' AND k <= 999) AS o, max(k) > 999 AS over
   FROM ranked GROUP BY ALL)
 SELECT doc_id, entity_id AS id, mention_text AS raw_mention, ontology_type, coalesce(canonical_name, '') AS canonical_name, coalesce(i, '') AS incoming, coalesce(o, '') AS outgoing, coalesce(over, false) AS truncated
 FROM nodes LEFT JOIN lists USING (doc_id, entity_id)""",
