@@ -8,20 +8,61 @@ from pyspark.sql import functions as F
 
 from graphloom.util import cut
 
+HELD = 1_000_000  # nodes of the forest that a task contracts its edges to
 TASK_ROWS = 500_000  # nodes and edges of one document that one task may hold
 
 
+def _forest(batches):
+    """Edges (u, v) of a task to edges (node, root) of its own forest, roots being least; the forest is sent on when it holds HELD nodes."""
+    root: dict = {}
+    kind = None
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def plain(column):
+        values = column.to_pylist()
+        return [tuple(v.values()) for v in values] if pa.types.is_struct(kind) else values
+
+    def out():
+        pairs = [(x, find(x)) for x in root]
+        sides = zip(*(p for p in pairs if p[0] != p[1])) if any(x != y for x, y in pairs) else ((), ())
+        if pa.types.is_struct(kind):
+            names = [kind.field(i).name for i in range(kind.num_fields)]
+            sides = ([dict(zip(names, v)) for v in side] for side in sides)
+        cols = [pa.array(list(side), kind) for side in sides]
+        root.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
+
+    for b in batches:
+        kind = b.schema[0].type
+        for x, y in zip(plain(b.column(0)), plain(b.column(1))):
+            root.setdefault(x, x)
+            root.setdefault(y, y)
+            p, q = find(x), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+        if len(root) > HELD:
+            yield out()
+    if kind is not None:
+        yield out()
+
+
 def star_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is its least node.
 
-    Alternates large-star and small-star rounds: each node links its neighbours to the least one it knows, until the
+    Each task first contracts its own edges to a forest by union-find, which leaves at most one edge per node and task. Then large-star and
+    small-star rounds alternate: each node links its neighbours to the least one it knows, until the
     edges form stars. The number of rounds grows with the logarithm of the diameter. Neighbourhoods are reduced to
     their minimum before they are joined back, so a hub costs one row per task. Null ends are left out; an edge from a node to itself
     makes it known. Rounds are checkpointed. An empty table gives no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    e = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    own = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = cut(own.mapInArrow(_forest, own.schema).distinct())
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))

@@ -76,10 +76,10 @@ def projection(edges: DataFrame) -> DataFrame:
     return edges.where("source_id is not null and target_id is not null").select("doc_id", F.least(*ENDS).alias("a"), F.greatest(*ENDS).alias("b")).distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, entity_id, degree) in the simple projection; a self-loop adds 2, a node without edges has 0."""
+def degrees(nodes: DataFrame, edges: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, entity_id, keep.., degree) in the simple projection; a self-loop adds 2, a node without edges has 0."""
     ends = projection(edges).select("doc_id", F.explode(F.array("a", "b")).alias("entity_id")).groupBy("doc_id", "entity_id").agg(F.count(F.lit(1)).alias("degree"))
-    return nodes.select("doc_id", "entity_id").join(ends, ["doc_id", "entity_id"], "left").select("doc_id", "entity_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    return nodes.select("doc_id", "entity_id", *keep).join(ends, ["doc_id", "entity_id"], "left").select("doc_id", "entity_id", *keep, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
 def sizes(nodes: DataFrame, edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:

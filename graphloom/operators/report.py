@@ -34,11 +34,14 @@ def validation_report(nodes: DataFrame, edges: DataFrame, limits: Limits = Limit
     """
     base = sizes(nodes, edges, docs)
     parts = (components if components is not None else weak_components(nodes, edges)).select("doc_id", "component_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
-    top = degrees(nodes, edges).groupBy("doc_id").agg(F.max("degree").alias("top"))
-    hubs = hub_nodes(nodes, edges, limits)
-    ranked = hubs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hub_count"), F.sort_array(F.collect_list(F.struct("ord", "entity_id"))).alias("h"))
-    ranked = ranked.select("doc_id", "hub_count", F.slice(F.col("h.entity_id"), 1, LISTED).alias("hub_nodes"))
-    met = base.join(parts, "doc_id", "left").join(top, "doc_id", "left").join(ranked, "doc_id", "left")
+    # one row per node meets its document's size; both the top degree and the hubs come from the same pass
+    limit = degree_limit(F.col("node_count"), limits.max_degree_fraction)
+    hub = (F.col("node_count") > 1) & (F.col("degree") > limit)
+    ranked = degrees(nodes, edges, "ord").join(base.select("doc_id", "node_count"), "doc_id").groupBy("doc_id").agg(
+        F.max("degree").alias("top"), F.count(F.when(hub, 1)).alias("hub_count"), F.sort_array(F.collect_list(F.when(hub, F.struct("ord", "entity_id")))).alias("h")
+    )
+    ranked = ranked.select("doc_id", "top", "hub_count", F.slice(F.col("h.entity_id"), 1, LISTED).alias("hub_nodes"))
+    met = base.join(parts, "doc_id", "left").join(ranked, "doc_id", "left")
     n, m = F.col("node_count"), F.col("edge_count")
     hub_count = F.coalesce("hub_count", F.lit(0)).cast("long")
     met = met.select(

@@ -11,7 +11,7 @@ from graphloom.ontology import closure, domain_range_audit, inverse_edges, unkno
 from graphloom.operators import context, dot, graph, motifs, normalize, report, validate
 from graphloom.operators.components import star_components, weak_components
 from graphloom.plans.graph_sql import SQL  # noqa: F401
-from graphloom.util import read
+from graphloom.util import cut, read
 
 ENTITY = ("doc_id", "ord", "entity_id", "mention_text", "free_type", "description", "evidence", "confidence")
 RELATION = ("doc_id", "ord", "relation_id", "source_id", "target_id", "free_type", "evidence", "confidence")
@@ -143,7 +143,7 @@ def report_texts(spark, d):
 def _normalized(spark, d):
     t = Tables(spark, d)
     relations = t._plain("relations", ("doc_id", "ord", "relation_id", "source_id", "target_id"))
-    parts = weak_components(t.ids, t.links)
+    parts = cut(weak_components(t.ids, t.links))
     return normalize.normalize(t.ids, relations, parts, docs=t.texts().select("doc_id")), parts
 
 
@@ -259,9 +259,9 @@ def star_graph(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def star_report(spark, d):
-    nodes, edges = star_graph(spark, d)
-    kept = normalize.normalize(nodes.select("doc_id", "ord", "entity_id"), edges, weak_components(nodes, edges))
-    out = report.validation_report(kept.entities, kept.relations, texts=False)
+    nodes, edges = (cut(t) for t in star_graph(spark, d))
+    kept = normalize.normalize(nodes.select("doc_id", "ord", "entity_id"), edges, cut(weak_components(nodes, edges)))
+    out = report.validation_report(cut(kept.entities), cut(kept.relations), texts=False)
     return out.select("doc_id", "valid", "node_count", "edge_count", "density", "max_neighbor_count", "hub_count", F.array_join("codes", ",").alias("codes"))
 
 
