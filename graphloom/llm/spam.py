@@ -30,7 +30,7 @@ LANGUAGES, LEAST = 100, 30  # languages scaled on their own, and the documents e
 
 _EDGES = chr(0xFEFF) + " \t"
 MARKUP = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
-EFFECT = re.compile(r"\[[^\]\n]*\]|\([^)\n]*\)|\*[^*\n]*[^\W_]{3}[^*\n]*\*")
+EFFECT = re.compile(r"\[[^\]\n]*\]|\([^)\n]*\)|(?<!\w)\*[^*\n]*[^\W_]{3}[^*\n]*\*(?!\w)")
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 HIDDEN = re.compile("[%s]" % "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))))
 APART = re.compile(r"(?<![^\W_])[^\W_](?:([^\w\n,;])[^\W_])(?:\1[^\W_])+(?![^\W_])")  # letters of a word set apart by one sign
@@ -42,12 +42,41 @@ LINK = re.compile(
 LINKISH = re.compile(r"://|www\.|(?:\.|\]|\)|\bdot)\s?(?:com|net|org|info|biz|io|co|shop|store|online|site|club|top|xyz|eu|uk|de|fr|es|ru|cn|example|test|invalid)\b", re.I)
 PRICE = re.compile(r"(?<!\w)[A-Z]{2,}-?\d+\b|\d+[.,]\d\d(?!\d)|[$€£¥]\s?\d|\d\s?[$€£¥%]|\*{3,}")
 SONG = chr(0x266A)
+# Words of site navigation.
+NAVIGATION = frozenset(
+    "home start shop store cart basket checkout login logout register account contact about imprint impressum kontakt contacto accueil inicio startseite sitemap archive archives archiv tags tag "
+    "next previous prev back top new news sale sales offers partner partners links link faq help search menu categories privacy terms newsletter blog forum index page".split()
+)
+PARTED = re.compile(r"\s+[|/>%s%s%s-]\s+|\s{2,}|\t" % tuple(map(chr, (0xBB, 0x2022, 0xB7))))
 CLOSING, ENDING = " \"'-)" + "".join(map(chr, (0x201D, 0x2019, 0xBB, 0x266A))), ".!?" + chr(0x2026)  # fixed values
 MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
 
 
+def _bytes_of(code_page: str) -> dict[int, int]:
+    """What a reader of the code page shows for each byte from 128 on, led back to the byte."""
+    shown = {b: bytes([b]).decode(code_page, "ignore") or chr(b) for b in range(128, 256)}
+    return {ord(c): b for b, c in shown.items()}
+
+
+# Code pages in which UTF-8 is often misread, and the signs that then stand for the lead bytes of longer characters.
+MISREAD = [_bytes_of(c) for c in ("cp1252", "cp1251", "cp437")]
+LEADS = re.compile("[" + "".join({chr(c) for table in MISREAD for c, b in table.items() if b in (0xC2, 0xC3, 0xE2)}) + "][^\x00-\x7f]")
+
+
+def reread(line: str) -> str:
+    """A line of UTF-8 that was read in another code page, read again; else the line."""
+    for table in MISREAD:
+        try:
+            return line.translate(table).encode("latin-1").decode()
+        except UnicodeError:
+            pass
+    return line
+
+
 def cue_lines(text: str) -> list[str]:
     """Lines of the cue texts, numbers, times and markup aside."""
+    if not text.isascii() and LEADS.search(text):
+        text = "\n".join(map(reread, text.replace("\r\n", "\n").replace("\r", "\n").split("\n")))
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text or "{" in text:
@@ -84,7 +113,8 @@ def measure(text: str, common: frozenset[str]) -> tuple[list[float], float] | No
     total = len(body) - len(lines) + 1
     known = {w for w in counts if w in common}
     least = max(3.0, 0.015 * n)
-    keys = {w for w, k in counts.items() if k >= least and w not in known}
+    keys = {w for w, k in counts.items() if k >= least and len(w) > 2 and w not in known}
+    main = [w for w in keys if counts[w] >= max(6, 0.12 * n)]
     links, prices, hashes = bool(LINKISH.search(body)), bool(PRICE.search(body)), "#" in body
     listed = tagged = open_ended = 0
     for line, w in zip(lines, words):
@@ -105,13 +135,19 @@ def measure(text: str, common: frozenset[str]) -> tuple[list[float], float] | No
             continue
         if prices and PRICE.search(line):
             tagged += size
-            if not ended and known.isdisjoint(w):
+            if known.isdisjoint(w):
                 listed += size
                 continue
-        if not keys.isdisjoint(w) and 2 * sum(x in keys for x in w) >= len(w):
-            called = last == "!" and len(set(w)) == 1  # a name called out, a chant
-            if not (ended and (called or len(w) < 4) or SONG in line):
-                listed += size
+        if not ended and (NAVIGATION.issuperset(x for x in w if not x.isdigit()) or len(parts := PARTED.split(line)) > 2 and max(len(p.split()) for p in parts) < 4):
+            listed += size
+            continue
+        if keys.isdisjoint(w) or SONG in line:
+            continue
+        if last == "!" and len(set(w)) == 1:  # a name called out, a chant
+            continue
+        # a list of keywords, or a sentence that says the one word of the document again and again
+        if (2 * sum(x in keys for x in w) >= len(w) and not (ended and len(w) < 4)) or any(w.count(x) > 1 for x in main):
+            listed += size
     entropy = (math.log(n) - sum(k * math.log(k) for k in counts.values() if k > 1) / n) / math.log(max(n, 2))
     repeated = sum(counts[w] for w in keys) / n
     return [open_ended / total, tagged / total, entropy, repeated, sum(counts[w] for w in known) / n], listed / total
