@@ -101,7 +101,7 @@ class Mixture:
 
     The total is the largest one at which every listed source that has tokens can supply its share within its repeats, or `total`
     if that is smaller. Shares count among the sources that have documents: a listed source without any supplies nothing and is reported
-    with 0; documents of sources not listed, and with a null source, aren't used. Documents without tokens get no copy.
+    with 0; documents of sources not listed, and with a null source, aren't used. Documents without tokens get no copy; rows of one key and source are one document, rows without a key none.
     """
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, key: str = "doc_id", total: float | None = None, seed: int = 17):
@@ -110,7 +110,10 @@ class Mixture:
         wanted = targets.select("source", "target_share", "max_repeats").where("source is not null").limit(MAX_SOURCES + 1).collect()
         if len(wanted) > MAX_SOURCES:
             raise ValueError(f"over {MAX_SOURCES} sources")
-        rows = sizes.select(F.col(key).alias("key"), "source", F.col("n_tokens").alias("size"))
+        # the last row of a source counts; a null share or repeat is 0
+        wanted = list({r["source"]: {k: v or 0 for k, v in r.asDict().items()} for r in wanted}.values())
+        rows = sizes.select(F.col(key).alias("key"), "source", F.col("n_tokens").alias("size")).where("key is not null")
+        rows = rows.groupBy("key", "source").agg(F.max("size").alias("size"))
         stock = {r["source"]: r for r in rows.where(F.col("source").isin([r["source"] for r in wanted])).groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
         has = {r["source"]: r for r in wanted if r["source"] in stock and (stock[r["source"]]["tokens"] or 0) > 0 and r["target_share"] > 0 and r["max_repeats"] > 0}
         share = sum(r["target_share"] for r in has.values()) or 1.0

@@ -93,8 +93,8 @@ def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mx, "FAN_IN", 3)
     rnd = random.Random(2)
     rows = [(i, rnd.choice(["big"] * 8 + ["mid"] * 3 + ["tiny", "unlisted", None]), rnd.choice([0, None] + [rnd.randrange(1, 900)] * 8)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").selectExpr("*", "1 as key", "1 as part", "2 as copies")
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.15, 3), ("absent", 0.05, 2), (None, 0.1, 1)], TARGETS)
+    df = spark.createDataFrame([*rows, *rows[:50], (None, "mid", 5)], "doc_id bigint, source string, n_tokens bigint").selectExpr("*", "1 as key", "1 as part", "2 as copies")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.15, 3), ("absent", 0.05, 2), (None, 0.1, 1), ("big", 0.5, 1), ("void", None, None)], TARGETS)
     m = mx.Mixture(df, targets)
     assert m.levels > 2
     got = m.rows.collect()
