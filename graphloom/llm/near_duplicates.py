@@ -13,14 +13,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import star_components
-from graphloom.util import cut
+from graphloom.util import cut, small
 
 WORD = re.compile(r"[a-z0-9]+")
 BUCKET = 64  # classes of a bucket whose pairs are taken directly: at most 32 per class; larger buckets go to prefix_pairs
+FEW = 300_000  # candidate ids up to which they are broadcast
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # fixed values: odd mixing constants
 
 
@@ -92,7 +93,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, k: int, min_words: int) ->
 
 
 def _band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(class_id, band, bucket) for every band of every class."""
+    """(class_id, bucket) for every band of every class; the band's number is part of the bucket's hash."""
     permutations = -(-bands * rows // 2)
     kind = sets.schema["class_id"].dataType.simpleString()
 
@@ -103,18 +104,15 @@ def _band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:
                 out = []
                 for values in part.column(1):
                     sig = signature(np.asarray(values.values).view(np.uint64), permutations)[: bands * rows].reshape(bands, rows)
-                    mix = np.zeros(bands, np.uint64)
+                    mix = np.arange(1, bands + 1, dtype=np.uint64) * _M2
                     for j in range(rows):
                         mix = (mix ^ sig[:, j]) * _M1
                         mix ^= mix >> np.uint64(31)
                     out.append(mix.view(np.int64))
                 ids = np.repeat(np.arange(part.num_rows), bands)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(ids)), pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(np.concatenate(out) if out else np.array([], np.int64))],
-                    names=["class_id", "band", "bucket"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(ids)), pa.array(np.concatenate(out) if out else np.array([], np.int64))], names=["class_id", "bucket"])
 
-    return sets.select("class_id", "shingles").mapInArrow(run, f"class_id {kind}, band int, bucket long")
+    return sets.select("class_id", "shingles").mapInArrow(run, f"class_id {kind}, bucket long")
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -138,16 +136,19 @@ def class_pairs(sets: DataFrame, percent: int, rows: int = 4, bucket: int = BUCK
 
     sets: one row per class. Bands are as many as miss a pair at the threshold once in 100,000.
     """
-    keys = cut(_band_keys(sets, bands_for(percent / 100, rows), rows))
-    sizes = keys.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    large = cut(sizes.where(F.col("n") > bucket).select("band", "bucket"))
-    rest = keys if large.isEmpty() else keys.join(large, ["band", "bucket"], "left_anti")
-    near = rest.groupBy("band", "bucket").agg(F.sort_array(F.collect_list("class_id")).alias("c")).where("size(c) > 1")
-    near = near.select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b")).distinct()
+    keys = _band_keys(sets, bands_for(percent / 100, rows), rows)
+    # tasks send on at most bucket + 1 classes of a bucket, so none is ever gathered whole; one that is full is large
+    few = keys.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("class_id"))).where(F.col("k") <= bucket + 1)
+    groups = cut(few.groupBy("bucket").agg(F.sort_array(F.collect_list("class_id")).alias("c")).where("size(c) > 1"))
+    near = groups.where(F.size("c") <= bucket).select(F.posexplode("c").alias("i", "a"), "c").select("a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b")).distinct()
+    large = groups.where(F.size("c") > bucket).select("bucket")
     if not large.isEmpty():
-        held = keys.join(large, ["band", "bucket"], "left_semi").select("class_id").distinct()
+        held = keys.join(large, "bucket", "left_semi").select("class_id").distinct()
         near = near.union(prefix_pairs(sets.join(held, "class_id", "left_semi"), percent)).distinct()
-    own = sets.select("class_id", "shingles")
+    near = cut(near)
+    # only the sets of candidates travel: where the candidates are few, they filter the sets before the exchange
+    ids = small(near.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), FEW)
+    own = sets.select("class_id", "shingles").join(ids, "class_id", "left_semi")
     met = near.join(own.withColumnsRenamed({"class_id": "a", "shingles": "x"}), "a").join(own.withColumnsRenamed({"class_id": "b", "shingles": "y"}), "b")
     shared = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
     return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("joined")).where(f"100 * shared >= {percent} * joined")
