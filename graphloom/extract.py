@@ -93,7 +93,7 @@ class ClientExtractor:
     """A client that answers one document at a time with JSON text: extract(payload), cast(payload), contexts(payload) -> str.
 
     The client is made once per task by `make`, calls run on the executors in Arrow batches, answers are parsed strictly. `problems` collects
-    the refused answers as (doc_id, stage, code, detail). Outputs are checkpointed by the pipeline, so no call is repeated for a recomputation.
+    the refused answers as (doc_id, stage, code, detail). Outputs are written once by the pipeline, so no call is repeated for a recomputation.
     """
 
     def __init__(self, make, ontology: dict | None = None, settings: ContextSettings = ContextSettings()):

@@ -57,7 +57,7 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: in
     small-star rounds alternate: each node links its neighbours to the least one it knows, until the
     edges form stars. The number of rounds grows with the logarithm of the diameter. Neighbourhoods are reduced to
     their minimum before they are joined back, so a hub costs one row per task. Null ends are left out; an edge from a node to itself
-    makes it known. Rounds are checkpointed. An empty table gives no rows.
+    makes it known. Each round is a written table. An empty table gives no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()

@@ -125,7 +125,7 @@ def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels:
 
     Each round semi-joins the references to the records orphaned in the round before (the frontier) and keeps those
     not yet orphaned; it stops when a round adds nothing. Only edges whose parent table has orphaned records take part, so a key
-    graph without grandchildren ends without a round. Cycles end too: a record joins the frontier once. Frontiers are checkpointed.
+    graph without grandchildren ends without a round. Cycles end too: a record joins the frontier once. Frontiers are written tables.
     Empty tables give empty results. Inherited rows hold the level at which they were reached (direct = 0).
     """
     direct = direct_orphans(tables, fks)

@@ -68,7 +68,7 @@ class Pipeline:
             self.prompt.write_yaml(self.settings.prompt_snapshot_path)
 
     def run(self, docs: DataFrame, text: str = "text") -> Result:
-        """docs(doc_id, text), one row per document. The extractor's tables are checkpointed: no recomputation asks it again."""
+        """docs(doc_id, text), one row per document. The extractor's tables are written once (util.cut): no recomputation asks it again."""
         s, spark = self.settings, docs.sparkSession
         kinds, ties = self.ontology.tables(spark)
         docs = docs.select("doc_id", F.col(text).alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` once and forget its lineage, by a reliable checkpoint in the shared folder.
+    """Compute `df` once, write it as a table to the shared folder and read it from there: a lineage cut that survives the loss of executors.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests,
-    one machine) is a folder of our own set. The files survive the loss of executors.
+    A table rather than a checkpoint, for it is stored in compressed columns and later reads prune them. The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one
+    machine) is a folder of our own set. Tables are removed when the session's JVM ends, or by `release`.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _filesystem(sc, path).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(path))
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: list[str] = []
+
+
+def _filesystem(sc, path: str):
+    return sc._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every table that `cut` has written so far; results that still rest on them can't be read any more."""
+    sc = spark.sparkContext
+    while _TABLES:
+        path = _TABLES.pop()
+        _filesystem(sc, path).delete(sc._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
