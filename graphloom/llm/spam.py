@@ -226,7 +226,7 @@ def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """(key, language, features.., listed_share, distance2, spamward, candidate) of every text with a word.
 
     Null, empty and wordless texts give no row. distance2: squared robust distance within the language; spamward: position along the
-    discriminant direction, above 0 on the spam side. The features are checkpointed: texts are read twice, once for the function words.
+    discriminant direction, above 0 on the spam side. The features are written once: texts are read twice, once for the function words.
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), _language(lang).alias("g")).where("t <> ''")
     common = df.sparkSession.sparkContext.broadcast(function_words(rows.select("g", "t")))
