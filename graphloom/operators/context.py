@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.config import ContextSettings
 
-HELD = 999  # relations listed per node and direction in a request; one more stays under the limit up to which tasks cut groups before the exchange
-
 
 def relation_rows(edges: DataFrame) -> DataFrame:
     """(doc_id, ord, id, source_id, target_id, raw_relation, ontology_relation, evidence); ontology_relation is null where uncast."""
@@ -24,11 +22,11 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return flat.join(nodes.select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_semi").select("doc_id", "entity_id", "direction", "ord", "id", "other_id", "relation")
 
 
-def node_requests(nodes: DataFrame, edges: DataFrame, held: int = HELD) -> DataFrame:
-    """One row per typed node: id, mention, types and its relations as arrays in relation order, [] where there are none.
+def node_requests(nodes: DataFrame, edges: DataFrame, held: int | None = None) -> DataFrame:
+    """One row per typed node: id, mention, types and all its relations as arrays in relation order, [] where there are none.
 
-    Hubs are bounded: of over `held` relations in one direction the first are listed and `truncated` is set. Positions come from the
-    ids within each node's relations, ranked on (node, direction), which spreads a document over tasks.
+    Only where a caller sets `held` are hubs bounded: of over `held` relations in one direction the first are listed and `truncated` is
+    set. Positions then come from the ids within each node's relations, ranked on (node, direction), which spreads a document over tasks.
     """
     from pyspark.sql import Window
 
@@ -36,9 +34,12 @@ def node_requests(nodes: DataFrame, edges: DataFrame, held: int = HELD) -> DataF
     rows = relation_rows(edges)
     sides = [F.struct(F.lit(d).alias("direction"), F.col(end).alias("entity_id")) for d, end in (("incoming", "target_id"), ("outgoing", "source_id"))]
     flat = rows.select("doc_id", "ord", F.struct(*body).alias("r"), F.inline(F.array(*sides)))
-    ranked = flat.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "entity_id", "direction").orderBy("ord", "r.id"))).where(F.col("k") <= held + 1)
-    lists = ranked.groupBy("doc_id", "entity_id").agg(
-        *(F.sort_array(F.collect_list(F.when((F.col("direction") == d) & (F.col("k") <= held), F.struct("ord", "r")))).alias(d) for d in ("incoming", "outgoing")), (F.max("k") > held).alias("over")
+    kept, over = F.lit(True), F.lit(False)
+    if held is not None:
+        flat = flat.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "entity_id", "direction").orderBy("ord", "r.id"))).where(F.col("k") <= held + 1)
+        kept, over = F.col("k") <= held, F.max("k") > held
+    lists = flat.groupBy("doc_id", "entity_id").agg(
+        *(F.sort_array(F.collect_list(F.when((F.col("direction") == d) & kept, F.struct("ord", "r")))).alias(d) for d in ("incoming", "outgoing")), over.alias("over")
     )
     met = nodes.join(lists, ["doc_id", "entity_id"], "left")
     none = F.array().cast("array<struct<id:string,source_id:string,target_id:string,raw_relation:string,ontology_relation:string,evidence:string>>")

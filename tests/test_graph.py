@@ -190,6 +190,15 @@ def test_adjacency_and_requests(spark):
     assert rows["c"]["incoming_relations"] == [] and not rows["c"]["truncated"] and rows["c"]["canonical_name"] == ""
 
 
+def test_requests_list_every_relation_of_a_hub(spark):
+    g = {1: (["hub", "x"], [("hub", "x")] * 1_200 + [("x", "hub")] * 1_100)}
+    n, e = graph.build_nodes(entities(spark, g), spark.createDataFrame([], CE)), graph.build_edges(relations(spark, g))
+    hub = next(r for r in context.node_requests(n, e).collect() if r["id"] == "hub")
+    assert [x["id"] for x in hub["outgoing_relations"]] == [f"r{i}" for i in range(1_200)]
+    assert [x["id"] for x in hub["incoming_relations"]] == [f"r{i}" for i in range(1_200, 2_300)]
+    assert not hub["truncated"]
+
+
 def test_motifs_against_brute_force(spark):
     rnd = random.Random(5)
     rows = [(d, f"r{i}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", rnd.choice(["x", "y", None])) for d in range(4) for i in range(40)]
