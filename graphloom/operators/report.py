@@ -10,8 +10,6 @@ from graphloom.functions.text import degree_limit, fixed3
 from graphloom.operators.components import weak_components
 from graphloom.operators.graph import degrees, sizes
 
-LISTED = 1_000  # hub ids that a report lists by name; a graph with more has them in hub_nodes()
-
 
 def component_sizes(components: DataFrame) -> DataFrame:
     """(doc_id, component_id, size)."""
@@ -30,7 +28,7 @@ def validation_report(nodes: DataFrame, edges: DataFrame, limits: Limits = Limit
 
     nodes(doc_id, ord, entity_id), one row per node; edges(doc_id, source_id, target_id), ends among the nodes. `docs` adds documents
     without any node: such a graph is not connected, and its issue is EMPTY_GRAPH alone. A graph of one node is connected; a self-loop on
-    it fails the density check. Hubs are listed in node order; of more than LISTED hubs the first by (ord, id), all of them are in hub_nodes.
+    it fails the density check. All hubs are listed, in node order (ord, id); hub_nodes has them as rows.
     """
     base = sizes(nodes, edges, docs)
     parts = (components if components is not None else weak_components(nodes, edges)).select("doc_id", "component_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
@@ -40,7 +38,7 @@ def validation_report(nodes: DataFrame, edges: DataFrame, limits: Limits = Limit
     ranked = degrees(nodes, edges, "ord").join(base.select("doc_id", "node_count"), "doc_id").groupBy("doc_id").agg(
         F.max("degree").alias("top"), F.count(F.when(hub, 1)).alias("hub_count"), F.sort_array(F.collect_list(F.when(hub, F.struct("ord", "entity_id")))).alias("h")
     )
-    ranked = ranked.select("doc_id", "top", "hub_count", F.slice(F.col("h.entity_id"), 1, LISTED).alias("hub_nodes"))
+    ranked = ranked.select("doc_id", "top", "hub_count", F.col("h.entity_id").alias("hub_nodes"))
     met = base.join(parts, "doc_id", "left").join(ranked, "doc_id", "left")
     n, m = F.col("node_count"), F.col("edge_count")
     hub_count = F.coalesce("hub_count", F.lit(0)).cast("long")

@@ -199,6 +199,15 @@ def test_requests_list_every_relation_of_a_hub(spark):
     assert not hub["truncated"]
 
 
+def test_report_names_every_hub(spark):
+    n = 1_100
+    ids = [f"n{i}" for i in range(n)]
+    g = {1: (ids, [(ids[i], ids[(i + k) % n]) for i in range(n) for k in (1, 2)])}
+    got = report.validation_report(entities(spark, g), relations(spark, g), Limits(max_degree_fraction=0.001)).first()
+    assert got["hub_count"] == n and got["hub_nodes"] == ids
+    assert got["issues"][-1] == f"graph contains {n} hub node(s): {', '.join(ids)}"
+
+
 def test_motifs_against_brute_force(spark):
     rnd = random.Random(5)
     rows = [(d, f"r{i}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", rnd.choice(["x", "y", None])) for d in range(4) for i in range(40)]
