@@ -73,19 +73,25 @@ def unknown_types(casting: DataFrame, types: DataFrame) -> DataFrame:
     return bad.groupBy("doc_id").agg(F.sort_array(F.collect_set("ontology_type")).alias("unknown"))
 
 
-def closure(types: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth) of every type, itself at depth 0. A type whose parent is missing ends there; a cycle ends where it returns."""
+def closure(types: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, ancestor, depth) of every type, itself at depth 0. A type whose parent is missing ends there; a cycle ends where it returns.
+
+    Runs until no ancestor is new; where `max_depth` is set, a deeper chain raises RuntimeError.
+    """
     pairs = types.select("id", "parent")
     level = pairs.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     out = level
     up = small(pairs.where("parent is not null").select(F.col("id").alias("ancestor"), "parent"))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         level = level.join(up, "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
         level = cut(level.join(types.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").join(out, ["id", "ancestor"], "left_anti").select("id", "ancestor", "depth"))
         if level.isEmpty():
-            break
+            return out
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"types lie more than {max_depth} levels below an ancestor")
         out = out.unionByName(level)
-    return out
 
 
 def domain_range_audit(entities: DataFrame, relations: DataFrame, entity_types: DataFrame, relation_types: DataFrame) -> DataFrame:

@@ -120,12 +120,13 @@ def direct_orphans(tables: dict[str, Table], fks: list[ForeignKey]) -> DataFrame
     return out
 
 
-def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels: int = 50) -> Cascade:
+def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels: int | None = None) -> Cascade:
     """Direct orphans, then every record reached from an orphaned record down the key graph.
 
     Each round semi-joins the references to the records orphaned in the round before (the frontier) and keeps those
     not yet orphaned; it stops when a round adds nothing. Only edges whose parent table has orphaned records take part, so a key
     graph without grandchildren ends without a round. Cycles end too: a record joins the frontier once. Frontiers are written tables.
+    Where `max_levels` is set, a cascade that is deeper raises RuntimeError.
     Empty tables give empty results. Inherited rows hold the level at which they were reached (direct = 0).
     """
     direct = direct_orphans(tables, fks)
@@ -139,7 +140,7 @@ def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels:
     direct = cut(direct)
     seen = frontier = direct.select(*scope, "table_name", "record_id").where(F.col("record_id").isNotNull()).distinct()
     found, level = None, 0
-    while level < max_levels:
+    while True:
         level += 1
         parts = []
         for k in down:
@@ -156,6 +157,8 @@ def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels:
         step = cut(step.withColumn("level", F.lit(level)))
         if step.isEmpty():
             break
+        if max_levels is not None and level > max_levels:
+            raise RuntimeError(f"orphans are inherited over more than {max_levels} levels")
         found = step if found is None else found.unionByName(step)
         fresh = step.select(*scope, "table_name", "record_id").where(F.col("record_id").isNotNull()).distinct()
         frontier = cut(fresh.join(seen, [*scope, "table_name", "record_id"], "left_anti"))

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from graphloom.operators.orphans import ForeignKey, Table, direct_orphans, orphan_cascade, orphan_report
 
 T0 = datetime(2024, 1, 31, 12)
@@ -75,3 +77,11 @@ def test_hot_reference_and_empty_tables(spark):
     assert direct_orphans(none, fks).count() == 3000
     cascade = orphan_cascade(none, fks)
     assert cascade.levels == 0 and cascade.inherited.isEmpty()
+
+
+def test_a_limit_of_levels_raises(spark):
+    rows = {"a": [_row(1, "a0", "nowhere", at=1), *(_row(1, f"a{i}", f"a{i - 1}", at=1) for i in range(1, 4))]}
+    fks = [ForeignKey("a", "ref", "a")]
+    assert orphan_cascade(_tables(spark, rows), fks, max_levels=3).inherited.count() == 3
+    with pytest.raises(RuntimeError):
+        orphan_cascade(_tables(spark, rows), fks, max_levels=2)

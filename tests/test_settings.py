@@ -112,3 +112,10 @@ def test_render(spark, tmp_path):
         files.render("graph {}", tmp_path / "g.png", command=str(bad))
     rows = files.render_all(spark.createDataFrame([(1, "graph {}")], "doc_id bigint, dot string"), str(tmp_path / "all"), command=str(bad)).collect()
     assert rows[0]["path"] is None and "broken" in rows[0]["error"]
+
+
+def test_closure_raises_beyond_its_limit(spark):
+    kinds = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c")], "id string, parent string")
+    assert {(r["ancestor"], r["depth"]) for r in closure(kinds, max_depth=3).where("id = 'd'").collect()} == {("d", 0), ("c", 1), ("b", 2), ("a", 3)}
+    with pytest.raises(RuntimeError):
+        closure(kinds, max_depth=2)
