@@ -215,6 +215,7 @@ def dot_lines(spark, d):
 
 
 def run_metadata(spark, d):
+    """Model and source hash of every text that isn't blank, without running the pipeline; its own runs are in pipeline_run_metadata."""
     t = Tables(spark, d).texts().where(~X.is_blank(F.col("source_text")))
     return t.select("doc_id", F.lit("gpt-4o-mini").alias("model"), X.sha256(F.col("source_text")).alias("source_sha256"))
 

@@ -32,6 +32,11 @@ def pipeline_runs(spark, d):
     return r.runs.select("doc_id", "source_sha256").join(r.final_report.select("doc_id", "node_count", "edge_count", "connected"), "doc_id")
 
 
+def pipeline_run_metadata(spark, d):
+    """The pipeline's table of runs: model and the hashes of source and prompt of every document that comes through. Without SQL, for the prompt is rendered in Python."""
+    return _run(spark, d).runs
+
+
 def pipeline_rule(spark, d):
     """The pipeline with the rule extractor over the documents: final reports."""
     docs = read(spark, d, "documents").select("doc_id", "text")
@@ -162,7 +167,7 @@ SELECT DISTINCT 'documents' AS table_name, doc_id FROM documents WHERE {_blank("
 }
 
 QUERIES = {
-    "pipeline_quarantine": pipeline_quarantine, "pipeline_runs": pipeline_runs, "pipeline_rule": pipeline_rule, "motif_selection": motif_selection, "edge_importance": edge_importance,
+    "pipeline_quarantine": pipeline_quarantine, "pipeline_runs": pipeline_runs, "pipeline_run_metadata": pipeline_run_metadata, "pipeline_rule": pipeline_rule, "motif_selection": motif_selection, "edge_importance": edge_importance,
     "neighbourhoods": neighbourhoods, "concept_graph": concept_graph, "concept_lineage": concept_lineage, "embedding_concepts": embedding_concepts,
     "label_centroids": label_centroids, "time_split": time_split, "blank_texts": blank_texts,
 }
