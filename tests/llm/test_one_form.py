@@ -50,3 +50,11 @@ def test_table(spark):
     out = got.select("entity_id", "mention_text_form", "evidence_form").collect()
     assert {tuple(r) for r in out} == want and len(out) == len(rows) + len(WORDS)
     assert o.consistent(df.limit(0), ["mention_text"]).isEmpty()
+
+
+def test_all_bigrams_count(spark):
+    """More pairs of Han letters than 200,000, each oftener than those of the one Latin word."""
+    han = [chr(0x4E00 + i) for i in range(460)]
+    rows = [(" ".join([a + b for b in han] * 2),) for a in han] + [("zq",)]
+    got = o.bigram_scores(spark.createDataFrame(rows, "x string"), ["x"])
+    assert len(got) > 460 * 460 and got["zq"] == 1 and got["^z"] == 1
