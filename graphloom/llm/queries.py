@@ -158,7 +158,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, robust distance and listed share of every document with words."""
+    """Features, robust distance and position towards spam of every document with words."""
     return spam_scores(read(spark, sf_dir, "documents"))
 
 

@@ -110,5 +110,34 @@ def test_spam(spark):
     assert set(got) == want | {5001}
     scores = sp.spam_scores(df)
     assert {5003, 5004, 5005}.isdisjoint({r["doc_id"] for r in scores.collect()})
-    assert scores.where("listed_share > 0.5 and not candidate").isEmpty()
     assert sp.spam(df.limit(0)).isEmpty()
+    # the languages 'fr' of two documents and null keys take part too
+    few = df.unionByName(spark.createDataFrame([(None, _cues(SPAM["keywords"](rnd)), "fr"), (7001, _cues(_speech(rnd)), "fr")], "doc_id bigint, text string, lang string").selectExpr("*", "1 as k", "2 as g"))
+    assert {r["doc_id"] for r in sp.spam(few).collect()} == want | {5001, None}
+
+
+def _features(rnd):
+    """Ordinary texts, spam, a text that lists much but speaks like the others, and one that lists less and is spam in all else."""
+    rows = [(f"n{i}", "en", max(0.0, rnd.gauss(0.01, 0.02)), 0.0, rnd.gauss(0.81, 0.05), 0.0, min(1.0, rnd.gauss(0.93, 0.03))) for i in range(300)]
+    rows += [(f"s{i}", "en", rnd.uniform(0.8, 1), rnd.uniform(0.2, 1), rnd.uniform(0.3, 0.6), rnd.uniform(0.5, 1), rnd.uniform(0, 0.1)) for i in range(40)]
+    return rows + [("speaks", "en", 0.54, 0.0, 0.81, 0.0, 0.93), ("spam", "en", 0.46, 0.46, 0.3, 0.9, 0.0)]
+
+
+def test_distance_and_direction_decide(spark, monkeypatch):
+    df = spark.createDataFrame(_features(random.Random(5)), "k string, g string, " + ", ".join(f"{f} double" for f in sp.FEATURES))
+    want = {f"s{i}" for i in range(40)}
+    got = {r["k"] for r in sp.decided(df).where("spam").collect()}
+    assert got == want | {"spam"}
+    assert {r["k"] for r in df.where("listing > 0.5").collect()} == want | {"speaks"}
+    # without the scatter the position is that of the listing share and its like, and the rows change
+    monkeypatch.setattr(sp, "FLOOR", (1e-3, 1e3, 1e3, 1e3, 1e3))
+    assert {r["k"] for r in sp.decided(df).where("spam").collect()} != got
+
+
+def test_estimate_bears_spam_in_nearly_half_of_a_language(spark):
+    rnd = random.Random(8)
+    rows = _features(rnd)[:300] + [(f"x{i}", "en", 1.0, 1.0, 0.3, 0.9, 0.0) for i in range(250)]
+    df = spark.createDataFrame(rows, "k string, g string, " + ", ".join(f"{f} double" for f in sp.FEATURES))
+    centre, _ = sp.robust_estimates(df)["en"]
+    assert abs(centre[0] - 0.01) < 0.05 and abs(centre[4] - 0.93) < 0.05
+    assert sp.decided(df).where("spam").count() == 250
