@@ -51,6 +51,50 @@ def test_streams_are_cut_where_they_are_stable(enc):
             assert list(enc.stream(chunks, window=enc.lookahead + 512)) == whole
 
 
+LONG = ["x" * 9000 + "1", " " * 9000 + "y", "\n" * 8195 + " y", " " * 8193, "'" * 8191 + "s", "'" * 8192 + "re x", "=" * 8190 + "'ll", " " + "ab" * 9000 + "  ", "7" * 20_000 + "é" * 9000 + "?!" * 9000, "a " * 9000, "日本" * 6000 + "\r\n" * 5000 + "'ve"]
+
+
+@pytest.mark.parametrize("text", LONG)
+@pytest.mark.parametrize("size", [1, 1000, 8192])
+def test_chunks_and_runs_longer_than_the_window(enc, public, text, size):
+    if size < 3:
+        text = text[:20] + text[-8250:]
+    chunks = [text[i : i + size] for i in range(0, len(text), size)]
+    assert [i for group in enc.transduce(chunks) for i in group] == public(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="a'sre l1 \n=é", max_size=40), st.integers(1, 5))
+def test_any_chunks(enc, public, text, size):
+    assert [i for g in enc.transduce(text[i : i + size] for i in range(0, len(text), size)) for i in g] == public(text)
+
+
+@pytest.mark.parametrize("piece", ["One run of words, and 12 numbers; it's long.\n", "x", " ", "qzxv"])
+def test_memory_stays_flat(enc, piece):
+    import tracemalloc
+
+    chunk = (piece * (e.CHUNK // len(piece) + 1))[: e.CHUNK]
+
+    def peak(n):
+        tracemalloc.start()
+        count = sum(sum(1 for _ in g) for g in enc.transduce(chunk for _ in range(n)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return count, most
+
+    enc.encode(chunk)
+    (few, low), (many, high) = peak(2), peak(8)
+    assert many > 3 * few and high < low + (1 << 20)
+
+
+def test_whole_path_over_long_and_broken_texts(spark, public):
+    texts = [None, "", "short", "é" * 70_000 + " end", "x" * 200_000, "  " * 40_000 + "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"]: list(r["ids"]) for r in e.token_ids(df).collect()} == {i: public(t or "") for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_tokens"] for r in e.token_counts(df, ["doc_id"]).collect()} == {i: len(public(t or "")) for i, t in enumerate(texts)}
+    assert all(r["same"] for r in e.round_trip(df).collect())
+
+
 def test_lookahead_of_a_small_list():
     import base64
 
