@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.canonical import aliases_of, map_values
-from graphloom.llm.cooccurrence import cooccurrence
+from graphloom.llm.cooccurrence import cooccurrence, least_llr
 from graphloom.llm.encoding import round_trip, token_counts, token_ids
-from graphloom.llm.frequency import document_count, marked, term_frequency
+from graphloom.llm.frequency import document_count, marked, term_frequencies
 from graphloom.llm.mixture import Mixture
 from graphloom.llm.near_duplicates import NearDuplicates
 from graphloom.llm.one_form import consistent
@@ -34,8 +34,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every source_text: at most 4,000 characters, up to 200 of overlap. Copies of a request count once."""
-    rows = read(spark, sf_dir, "extraction_requests").select("doc_id", "source_text").dropDuplicates(["doc_id"])
+    """Pieces of every source_text: at most 4,000 characters, up to 200 of overlap. Copies of a request count once; another text of the same request is cut too."""
+    rows = read(spark, sf_dir, "extraction_requests").select("doc_id", "source_text").distinct()
     return split_texts(rows, "doc_id", "source_text", 4000, 200)
 
 
@@ -68,8 +68,12 @@ def _type_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of ontology types together in at least 3 documents, 1 % of them, and half as often again as by chance."""
-    return _type_pairs(spark, sf_dir).where("n_ab >= 3 and 100 * n_ab >= n_docs and 2 * n_ab * n_docs >= 3 * n_a * n_b").select("type_a", "type_b")
+    """Pairs of ontology types together in at least 3 documents, 1 % of them, and half as often again as by chance.
+
+    The significance asked of a pair is the one that this definition implies (least_llr), so the test drops no case; the counts decide exactly.
+    """
+    tested = _type_pairs(spark, sf_dir).where(F.col("llr") >= least_llr(F.col("n_ab"), 1.5))
+    return tested.where("n_ab >= 3 and 100 * n_ab >= n_docs and 2 * n_ab * n_docs >= 3 * n_a * n_b").select("type_a", "type_b")
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +119,9 @@ def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for table, (record, fields) in FIELDS.items():
         rows = read(spark, sf_dir, table)
-        n = document_count(rows)
-        for field in fields:
-            part = marked(term_frequency(rows, field, record), n).select(F.lit(f"{table}.{field}").alias("field_name"), F.col("term").alias("field_value"), "n_records", "n_docs", "mark")
-            out = part if out is None else out.unionByName(part)
+        counts = marked(term_frequencies(rows, fields, record), document_count(rows))
+        part = counts.select(F.concat(F.lit(f"{table}."), "field").alias("field_name"), F.col("term").alias("field_value"), "n_records", "n_docs", "mark")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

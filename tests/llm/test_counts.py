@@ -13,8 +13,8 @@ from graphloom.llm import frequency as fr
 from graphloom.llm import mixture as mx
 
 
-@pytest.mark.parametrize("heavy", [512, 3, 0])
-def test_term_frequency(spark, heavy):
+@pytest.mark.parametrize("heavy, salts", [(512, 64), (3, 3), (0, 4000)])
+def test_term_frequency(spark, heavy, salts):
     rnd = random.Random(6)
     long = ["L" * 300 + str(i) for i in range(3)]
     rows = []
@@ -23,7 +23,7 @@ def test_term_frequency(spark, heavy):
         rows.append((rnd.choice([1] * 5 + list(range(2, 40)) + [None]), rnd.choice([f"e{i}"] * 9 + [None]), term))
     rows += rows[:700]  # copies
     df = spark.createDataFrame(rows, "doc_id bigint, entity_id string, free_type string").selectExpr("*", "1 as k", "2 as slot", "3 as n_docs")
-    got = {tuple(r) for r in fr.term_frequency(df, "free_type", "entity_id", heavy=heavy).collect()}
+    got = {tuple(r) for r in fr.term_frequency(df, "free_type", "entity_id", heavy=heavy, salts=salts).collect()}
     records, docs = defaultdict(set), defaultdict(set)
     for d, e, t in rows:
         if t:
@@ -31,6 +31,9 @@ def test_term_frequency(spark, heavy):
             if d is not None:
                 docs[t].add(d)
     assert got == {(t, len(records[t]), len(docs[t])) for t in records}
+    both = fr.term_frequencies(df, ["free_type", "entity_id"], "entity_id", heavy=heavy, salts=salts)
+    assert {tuple(r)[1:] for r in both.where("field = 'free_type'").collect()} == got
+    assert both.where("field = 'entity_id' and n_records < n_docs").isEmpty()
 
 
 def test_marks_and_empty(spark):
@@ -41,9 +44,10 @@ def test_marks_and_empty(spark):
     assert fr.term_frequency(none, "free_type", "entity_id").isEmpty() and fr.document_count(none) == 0
 
 
-@pytest.mark.parametrize("held", [500_000, 20])
-def test_cooccurrence(spark, held, monkeypatch):
+@pytest.mark.parametrize("held, block", [(500_000, 1000), (20, 3)])  # with 3, most documents are wide
+def test_cooccurrence(spark, held, block, monkeypatch):
     monkeypatch.setattr(co, "HELD", held)
+    monkeypatch.setattr(co, "BLOCK", block)
     rnd = random.Random(7)
     rows = [(rnd.randrange(80), rnd.choice("abcdefghij" + "ab" * 4)) for _ in range(600)] + [(None, "a"), (1, None), (500, "lone")]
     df = spark.createDataFrame(rows, "doc_id bigint, kind string").selectExpr("*", "0 as item", "0 as d")
@@ -66,6 +70,20 @@ def test_cooccurrence(spark, held, monkeypatch):
     assert co.cooccurrence(df.limit(0), "doc_id", "kind").isEmpty()
 
 
+def test_least_ratio_drops_no_case(spark):
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(4000):
+        n = rnd.choice([10, 300, 30_000])
+        a, b = rnd.randrange(1, n), rnd.randrange(1, n)
+        ab = rnd.randrange(max(0, a + b - n), min(a, b) + 1)
+        if 2 * ab * n >= 3 * a * b and ab:
+            table = [[ab, a - ab], [b - ab, n - a - b + ab]]
+            rows.append((ab, 2 * sum(x * math.log(x * n / (sum(table[i]) * (table[0][j] + table[1][j]))) for i in (0, 1) for j, x in enumerate(table[i]) if x)))
+    df = spark.createDataFrame(rows, "n_ab bigint, llr double")
+    assert len(rows) > 500 and df.where(F.col("llr") < co.least_llr(F.col("n_ab"), 1.5)).isEmpty()
+
+
 def test_pivotal_rounding():
     rnd = random.Random(1)
     hits = Counter()
