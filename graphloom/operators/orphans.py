@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.util import cut, frequent
 
-MAX_HOT = 1_000  # references looked up in a broadcast table, see _lookup
-HOT_SHARE = 2_000  # a reference is hot when it has at least one row in so many
+MAX_HOT = 2_000  # hot keys per reference column; as HOT_SHARE says, there can't be more
+HOT_SHARE = 2_000  # a key (scope and reference) is hot when it has at least one row in so many
 
 
 @dataclass(frozen=True)
@@ -77,94 +77,91 @@ def _parents(table: Table) -> DataFrame:
     )
 
 
-def _lookup(refs: DataFrame, parents: DataFrame, scope: list[str], hot: list | None) -> DataFrame:
-    """Left join of references to parents. Hot references meet a broadcast table of at most MAX_HOT parents, the rest shuffle."""
-    keys = [*scope, "ref"]
-    if not hot:
-        return refs.join(parents, keys, "left")
-    small = refs.sparkSession.createDataFrame([(h,) for h in hot], "ref string")
-    known = parents.join(F.broadcast(small), "ref", "left_semi")  # at most one row per (scope, hot reference)
-    hits = known.limit(MAX_HOT + 1).count()
-    if hits > MAX_HOT:  # one id used in very many scopes: it is not hot within them
-        return refs.join(parents, keys, "left")
-    common = refs.join(F.broadcast(small), "ref", "left_semi").join(F.broadcast(known), keys, "left")
-    rest = refs.join(F.broadcast(small), "ref", "left_anti").join(parents, keys, "left")
-    return common.unionByName(rest)
+def _key(*columns: str) -> Column:
+    """Scope and reference as one string; null for long ones, which are never hot."""
+    whole = F.concat_ws("\0", *(F.col(c).cast("string") for c in columns))
+    return F.when(F.octet_length(whole) <= 256, whole)
 
 
-def _hot(table: Table, fks: list[ForeignKey]) -> dict[str, list]:
-    """Per reference column its hot values, by a frequent-items sketch over all rows (state bounded by MAX_HOT, no shuffle of rows)."""
-    n, found = frequent(table.df, {c: F.when(F.octet_length(c) <= 256, F.col(c)) for c in sorted({k.column for k in fks})}, MAX_HOT)
-    return {c: [v for v, k in items if v and k * HOT_SHARE >= n] for c, items in found.items()}
+def _hot(tables: dict[str, Table], fks: list[ForeignKey]) -> list[tuple[str, str]]:
+    """(parent, key) of the hot references, by frequent-items sketches over all rows of the child tables; no row is shuffled."""
+    out = set()
+    for name in dict.fromkeys(k.child for k in fks):
+        child, own = tables[name], [k for k in fks if k.child == name]
+        n, found = frequent(child.df, {k.column: F.when(F.length(k.column) > 0, _key(*child.scope, k.column)) for k in own}, MAX_HOT)
+        out |= {(k.parent, v) for k in own for v, rows in found[k.column] if rows * HOT_SHARE >= n}
+    return sorted(out)
 
 
-def direct_orphans(tables: dict[str, Table], fks: list[ForeignKey]) -> DataFrame:
-    """Rows (scope.., table_name, field_name, record_id, period, ref): references that lead nowhere when their record arrives.
+class _References:
+    """References joined to tables of their targets: hot keys meet a broadcast of the targets they name, the rest is shuffled.
 
-    Null and empty references are no references. A record's arrival is its earliest one over copies; it is orphaned if no
-    parent row has its scope and key, or the parent's earliest arrival is later, or its earliest withdrawal is not later.
-    A null arrival of the record counts as never known and is not compared: the reference is then orphaned only if missing.
+    `rows` is written once, with a mark at the hot ones. The targets hold one row per key, so the broadcast holds at most as many as there are hot keys.
     """
-    out = None
-    for name in dict.fromkeys(k.child for k in fks):
-        child, own = tables[name], [k for k in fks if k.child == name]
-        scope = [f"s{i}" for i in range(len(child.scope))]
-        records, hot = _records(child, own), _hot(child, own)
-        for parent in dict.fromkeys(k.parent for k in own):
-            mine = [k for k in own if k.parent == parent]
-            values = sorted({v for k in mine for v in hot[k.column]})[:MAX_HOT]
-            met = _lookup(records.where(F.col("parent") == parent), _parents(tables[parent]), scope, values)
-            lost = F.col("first_in").isNull() | (F.col("first_in") > F.col("at")) | (F.col("first_out") <= F.col("at"))
-            part = met.where(lost).select(*scope, F.lit(name).alias("table_name"), "field_name", "record_id", "period", "ref")
-            out = part if out is None else out.unionByName(part)
-    return out
+
+    def __init__(self, rows: DataFrame, scope: list[str], hot: list[tuple[str, str]]):
+        self.on = ["parent", *scope, "ref"]
+        self.keys = rows.sparkSession.createDataFrame(hot, "parent string, key string") if hot else None
+        self.key = _key(*scope, "ref")
+        marked = rows.withColumn("hot", F.lit(False))
+        if self.keys is not None:
+            known = F.broadcast(self.keys.withColumn("known", F.lit(True)))
+            marked = rows.withColumn("key", self.key).join(known, ["parent", "key"], "left").withColumn("hot", F.coalesce("known", F.lit(False))).drop("key", "known")
+        self.rows = cut(marked)
+
+    def meet(self, targets: DataFrame, how: str, parents: list[str] | None = None) -> DataFrame:
+        rows = self.rows if parents is None else self.rows.where(F.col("parent").isin(parents))
+        if self.keys is None:
+            return rows.join(targets, self.on, how).drop("hot")
+        few = targets.withColumn("key", self.key).join(F.broadcast(self.keys), ["parent", "key"], "left_semi").drop("key")
+        return rows.where("hot").join(F.broadcast(few), self.on, how).unionByName(rows.where("not hot").join(targets, self.on, how)).drop("hot")
 
 
 def orphan_cascade(tables: dict[str, Table], fks: list[ForeignKey], max_levels: int | None = None) -> Cascade:
-    """Direct orphans, then every record reached from an orphaned record down the key graph.
+    """Orphan references level by level down the key graph, to the fixpoint.
 
-    Each round semi-joins the references to the records orphaned in the round before (the frontier) and keeps those
-    not yet orphaned; it stops when a round adds nothing. Only edges whose parent table has orphaned records take part, so a key
-    graph without grandchildren ends without a round. Cycles end too: a record joins the frontier once. Frontiers are written tables.
-    Where `max_levels` is set, a cascade that is deeper raises RuntimeError.
-    Empty tables give empty results. Inherited rows hold the level at which they were reached (direct = 0).
+    Level 0, direct: rows (scope.., table_name, field_name, record_id, period, ref) whose reference leads nowhere when the record arrives. Null and
+    empty references are no references. A record's arrival is its earliest one over copies; it is orphaned if no parent row has its scope and
+    key, or the parent's earliest arrival is later, or its earliest withdrawal is not later. A null arrival of the record counts as never
+    known and is not compared: the reference is then orphaned only if missing.
+
+    Every further level semi-joins the references to the records orphaned in the one before (the frontier) and keeps those that are not orphaned yet,
+    with the level at which they were reached, until a level adds nothing or no table refers to the frontier's. Cycles end too: a record joins the
+    frontier once. References and frontiers are written tables. Where `max_levels` is set, a cascade that is deeper raises RuntimeError. Empty
+    tables give empty results.
     """
-    direct = direct_orphans(tables, fks)
     width = max(len(t.scope) for t in tables.values())
     scope = [f"s{i}" for i in range(width)]
     columns = [*scope, "table_name", "field_name", "record_id", "period", "ref"]
-    down = [k for k in fks if any(k.parent == other.child for other in fks)]
-    empty = direct.withColumn("level", F.lit(0)).limit(0)
-    if not down:
-        return Cascade(direct, empty, 0)
-    direct = cut(direct)
-    seen = frontier = direct.select(*scope, "table_name", "record_id").where(F.col("record_id").isNotNull()).distinct()
-    found, level = None, 0
-    while True:
+    same = [*scope, "table_name", "field_name", "record_id"]
+    rows = known = None
+    for name in dict.fromkeys(k.child for k in fks):
+        part = _records(tables[name], [k for k in fks if k.child == name]).withColumn("table_name", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    for name in dict.fromkeys(k.parent for k in fks):
+        part = _parents(tables[name]).withColumn("parent", F.lit(name))
+        known = part if known is None else known.unionByName(part)
+    refs = _References(rows, scope, _hot(tables, fks))
+    lost = F.col("first_in").isNull() | (F.col("first_in") > F.col("at")) | (F.col("first_out") <= F.col("at"))
+    direct = cut(refs.meet(known, "left").where(lost).select(*columns))
+    found, level, new = None, 0, direct
+    reached = {k.child for k in fks}
+    seen = None
+    while down := [k for k in fks if k.parent in reached]:
+        frontier = new.select(*scope, "table_name", "record_id").where(F.col("record_id").isNotNull()).distinct()
+        frontier = cut(frontier if seen is None else frontier.join(seen, [*scope, "table_name", "record_id"], "left_anti"))
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        gone = frontier.withColumnsRenamed({"table_name": "parent", "record_id": "ref"})
+        step = refs.meet(gone, "left_semi", sorted({k.parent for k in down})).select(*columns).join(direct, same, "left_anti")
         level += 1
-        parts = []
-        for k in down:
-            child = tables[k.child]
-            gone = frontier.where(F.col("table_name") == k.parent).select(*scope, F.col("record_id").alias("ref"))
-            mine = _records(child, [k]).drop("at", "parent").withColumn("table_name", F.lit(k.child))
-            parts.append(mine.join(gone, [*scope, "ref"], "left_semi").select(*columns))
-        step = parts[0]
-        for p in parts[1:]:
-            step = step.unionByName(p)
-        step = step.join(direct, [c for c in columns if c not in ("ref", "period")], "left_anti")
-        if found is not None:
-            step = step.join(found, [c for c in columns if c not in ("ref", "period")], "left_anti")
-        step = cut(step.withColumn("level", F.lit(level)))
-        if step.isEmpty():
+        new = cut((step if found is None else step.join(found, same, "left_anti")).withColumn("level", F.lit(level)))
+        if new.isEmpty():
             break
         if max_levels is not None and level > max_levels:
             raise RuntimeError(f"orphans are inherited over more than {max_levels} levels")
-        found = step if found is None else found.unionByName(step)
-        fresh = step.select(*scope, "table_name", "record_id").where(F.col("record_id").isNotNull()).distinct()
-        frontier = cut(fresh.join(seen, [*scope, "table_name", "record_id"], "left_anti"))
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            break
+        found = new if found is None else found.unionByName(new)
+        reached = {k.child for k in down}
+    empty = direct.withColumn("level", F.lit(0)).limit(0)
     return Cascade(direct, empty if found is None else found, level)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators.orphans import ForeignKey, Table, orphan_cascade, orphan_report
+from graphloom.operators.orphans import Cascade, ForeignKey, Table, orphan_cascade, orphan_report
 from graphloom.util import read
 
 FOUND_KEYS = [ForeignKey("relations", "source_id", "entities"), ForeignKey("relations", "target_id", "entities"), ForeignKey("cast_entities", "entity_id", "entities")]
@@ -21,15 +22,19 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Table]:
     return {n: Table(n, read(spark, sf_dir, n), key, event, deleted=gone) for n in names for key, event, gone in [known[n]]}
 
 
+def _cascade(spark: SparkSession, sf_dir: str) -> Cascade:
+    return orphan_cascade(tables(spark, sf_dir, "entities", "relations", "cast_entities", "cast_relations"), ALL_KEYS)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct orphans of the graph entities <- relations, entities <- cast_entities: (table_name, field_name, record_id, period)."""
-    found = orphan_cascade(tables(spark, sf_dir, "entities", "relations", "cast_entities"), FOUND_KEYS)
-    return found.direct.select("table_name", "field_name", "record_id", "period").distinct()
+    """Level 0 of the cascade over the whole key graph, for the three references to entities: (table_name, field_name, record_id, period)."""
+    asked = F.concat_ws(".", "table_name", "field_name").isin([f"{k.child}.{k.column}" for k in FOUND_KEYS])
+    return _cascade(spark, sf_dir).direct.where(asked).select("table_name", "field_name", "record_id", "period").distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table, field and month over the whole key graph, cast_relations included: direct and inherited orphans."""
-    return orphan_report(orphan_cascade(tables(spark, sf_dir, "entities", "relations", "cast_entities", "cast_relations"), ALL_KEYS))
+    return orphan_report(_cascade(spark, sf_dir))
 
 
 P2_FOUND_SQL = """

@@ -3,12 +3,16 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from graphloom.operators.orphans import ForeignKey, Table, direct_orphans, orphan_cascade, orphan_report
+from graphloom.operators.orphans import ForeignKey, Table, orphan_cascade, orphan_report
 
 T0 = datetime(2024, 1, 31, 12)
 COLS = "doc_id bigint, id string, ref string, other string, t timestamp, loaded_at timestamp, deleted_at timestamp"
 
 
+def direct_orphans(tables, fks):
+    return orphan_cascade(tables, fks).direct
+
+
 def _tables(spark, rows):
     return {n: Table(n, spark.createDataFrame(r, COLS), "id", "t", deleted="deleted_at") for n, r in rows.items()}
 
@@ -85,3 +89,22 @@ def test_a_limit_of_levels_raises(spark):
     assert orphan_cascade(_tables(spark, rows), fks, max_levels=3).inherited.count() == 3
     with pytest.raises(RuntimeError):
         orphan_cascade(_tables(spark, rows), fks, max_levels=2)
+
+
+def test_hot_records_at_every_level(spark):
+    """A hub that is orphaned takes all its children along, though a third of all rows refer to it."""
+    rows = {
+        "p": [_row(1, "root")],
+        "c": [_row(1, "hub", "void", at=1), _row(1, "fine", "root", at=1), *(_row(1, f"c{i}", "root", at=1) for i in range(2000))],
+        "g": [_row(1, f"g{i}", "hub" if i % 3 else "fine", at=2) for i in range(3000)],
+    }
+    out = orphan_cascade(_tables(spark, rows), [ForeignKey("c", "ref", "p"), ForeignKey("g", "ref", "c")])
+    assert {r["record_id"] for r in out.direct.collect()} == {"hub"}
+    assert out.inherited.count() == 2000 and out.levels == 1
+
+
+def test_null_documents_and_clashing_names(spark):
+    rows = {"p": [_row(None, "x")], "c": [_row(None, "c1", "x", at=1), _row(1, None, "x", at=1), _row(1, "c3", "x", at=1), _row(1, "c3", "x", at=1)]}
+    tables = {n: Table(n, t.df.selectExpr("*", "1 as hot", "2 as s0", "3 as parent", "'k' as key"), "id", "t", deleted="deleted_at") for n, t in _tables(spark, rows).items()}
+    # a null document scopes nothing, so its references lead nowhere; a record without an id is reported but has no children
+    assert sorted(str(r["record_id"]) for r in direct_orphans(tables, [ForeignKey("c", "ref", "p")]).collect()) == ["None", "c1", "c3"]
