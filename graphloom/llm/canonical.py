@@ -2,7 +2,11 @@
 
 First a multi-pattern automaton over all names and aliases finds embedded mentions; the longest of the non-overlapping ones wins.
 Values without one go to token-set similarity: every word of an alias is matched to its closest word of the value,
-in any order, cut-off words count nearly whole, words left over weigh little. Values under the threshold mean no entry.
+in any order, cut-off words count nearly whole, words left over weigh little. Values under the threshold mean no entry. Last, in words
+that were run together, a mention counts without word edges about it.
+
+Every decision names the runner-up, the best other entry, and its score: equal scores are a tie, which goes to the entry of the least id and shows.
+Aliases are found by the words they share with a value and by their letters, so a value is compared with few of them.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +24,22 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.64
 MAX_ALIASES = 50_000  # a canonical list beyond this is refused, not broadcast
 CACHE = 200_000  # values whose entry a worker remembers
+INSIDE = 8  # letters of a mention that counts without word edges
+CUT, LEAST = 0.92, 0.5  # worth of a cut-off word, and the similarity at which a word may stand for another
 # Signs that are written for letters, and letters that look alike in many fonts, as one form each.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s"})
 _CAMEL = re.compile(r"(?<=[a-z\d])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words(value: str) -> list[str]:
-    """Words of a value in one form: compatibility forms, accents, case, camel case and look-alikes folded."""
+def words(value: str, pairs: bool = True) -> list[str]:
+    """Words of a value in one form: compatibility forms, accents, case, camel case and look-alikes folded, with `pairs` also 'rn' for 'm'."""
     text = unicodedata.normalize("NFKC", value)
     if not text.isupper():
         text = _CAMEL.sub(" ", text)
     text = unicodedata.normalize("NFD", text.casefold())
-    text = "".join(c for c in text if not unicodedata.combining(c)).translate(LOOK_ALIKE).replace("rn", "m")
-    return _WORD.findall(text)
+    text = "".join(c for c in text if not unicodedata.combining(c)).translate(LOOK_ALIKE)
+    return _WORD.findall(text.replace("rn", "m") if pairs else text)
 
 
 def _letters(word: str) -> int:
@@ -102,8 +109,39 @@ class Alias:
     joined: Word
 
 
+class Letters:
+    """Words by their letters: those that can be similar to a word, by a bound on the edit distance, computed over all of them at once."""
+
+    def __init__(self, items: list[str]):
+        self.sizes = np.array([len(x) for x in items], np.int32)
+        self.counts = np.array([self.count(x) for x in items], np.int16).reshape(len(items), 64)
+
+    @staticmethod
+    def count(word: str) -> np.ndarray:
+        return np.bincount([ord(c) % 64 for c in word], minlength=64) if word else np.zeros(64, np.int64)
+
+    def near(self, word: str, least: float) -> list[int]:
+        shared = np.minimum(self.counts, self.count(word).astype(np.int16)).sum(1)
+        return np.flatnonzero(shared >= least * np.maximum(self.sizes, len(word)) - 1e-9).tolist()
+
+
+@dataclass(frozen=True)
+class Choice:
+    """entry meant ('' for none) with its score, and the best other entry ('' for none) with its own."""
+
+    entry: str = ""
+    score: float = 0.0
+    runner_up: str = ""
+    next_score: float = 0.0
+
+
+def _choice(scores: dict[str, float]) -> Choice:
+    ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
+    return Choice(*(x for pair in ranked for x in pair))
+
+
 class Matcher(dict):
-    """value -> id of the entry meant, or ''."""
+    """value -> Choice."""
 
     def __init__(self, aliases: list[tuple[str, str]], threshold: float):
         super().__init__()
@@ -114,12 +152,22 @@ class Matcher(dict):
             if tokens and (entry, tokens) not in seen:
                 seen[entry, tokens] = 1
                 self.aliases.append(Alias(entry, tokens, Word("".join(tokens))))
-        self.tokens = {t: t for a in self.aliases for t in a.tokens}
+        self.tokens = list({t: t for a in self.aliases for t in a.tokens}.values())
+        self.of_token: dict[str, list[int]] = {}
+        self.starts: dict[str, list[Word]] = {}
+        for i, a in enumerate(self.aliases):
+            for t in set(a.tokens):
+                self.of_token.setdefault(t, []).append(i)
+        for t in self.tokens:
+            self.starts.setdefault(t[:3], []).append(t)
+        self.joined, self.single = Letters([a.joined for a in self.aliases]), Letters(self.tokens)
         self.close: dict[str, dict[str, float]] = {}
-        self.automaton = ahocorasick.Automaton()
+        named: dict[str, list[str]] = {}
         for a in self.aliases:
-            if not self.automaton.exists(a.joined):
-                self.automaton.add_word(a.joined, (len(a.joined), a.entry))
+            named.setdefault(a.joined, []).append(a.entry)
+        self.automaton = ahocorasick.Automaton()
+        for name, entries in named.items():
+            self.automaton.add_word(name, (len(name), tuple(sorted(set(entries)))))
         self.parts = ahocorasick.Automaton()
         for t in self.tokens:
             if len(t) >= 4:
@@ -129,26 +177,41 @@ class Matcher(dict):
         if len(self.parts):
             self.parts.make_automaton()
 
-    def __missing__(self, value: str) -> str:
+    def __missing__(self, value: str) -> Choice:
         if len(self) > CACHE:
             self.clear()
         found = self[value] = self.find(value)
         return found
 
-    def find(self, value: str) -> str:
+    def find(self, value: str) -> Choice:
         ws = words(value)
         if not ws or not self.aliases:
-            return ""
-        return self.embedded(ws) or self.closest(ws) or self.closest(self.apart(ws))
-
-    def embedded(self, ws: list[str]) -> str:
-        """The longest mention that begins and ends with a word of the value, the first of equally long ones."""
-        edges, at = {0}, 0
+            return Choice()
+        first = None
+        for step in (lambda: self.embedded(ws), lambda: self.closest(ws), lambda: self.closest(self.apart(ws)), lambda: self.embedded(ws, False), lambda: self.closest(self.apart(words(value, False)))):
+            got = step()
+            if got.score >= self.threshold:
+                return got
+            first = got if first is None or got.score > first.score else first
+        return Choice("", 0.0, first.entry, first.score)  # what it means least badly is the runner-up to nothing
+
+    def embedded(self, ws: list[str], edges: bool = True) -> Choice:
+        """The longest mention that begins and ends with a word of the value, the first of equally long ones; without `edges` within run-together words too."""
+        ends, at = {0}, 0
         for w in ws:
             at += len(w)
-            edges.add(at)
-        hits = [(n, end + 1 - n, entry) for end, (n, entry) in self.automaton.iter("".join(ws)) if end + 1 in edges and end + 1 - n in edges]
-        return min(hits, key=lambda h: (-h[0], h[1]))[2] if hits else ""
+            ends.add(at)
+        hits = [(n, end + 1 - n, entries) for end, (n, entries) in self.automaton.iter("".join(ws)) if (end + 1 in ends and end + 1 - n in ends if edges else n >= INSIDE)]
+        if not hits:
+            return Choice()
+        most, _, entries = min(hits, key=lambda h: (-h[0], h[1]))
+        scores = {e: n / most for n, _, own in sorted(hits, key=lambda h: h[0]) for e in own}
+        others = {e: s for e, s in scores.items() if e not in entries}
+        if len(entries) > 1:
+            return Choice(entries[0], 1.0, entries[1], 1.0)
+        best = _choice(others)
+        # of equally long mentions the first counts, so another one as long is no tie
+        return Choice(entries[0], 1.0, best.entry, min(best.score, 1 - 1e-9) if best.entry else 0.0)
 
     def apart(self, ws: list[str]) -> list[str]:
         """Words that were run together, cut at the alias words in them, the longest first."""
@@ -172,21 +235,27 @@ class Matcher(dict):
             if len(self.close) > CACHE:
                 self.close.clear()
             w, out = Word(word), {}
-            for t in self.tokens:
-                s = similarity(t, w, 0.5)
-                if 3 <= len(w) < len(t) and t.startswith(w):
-                    s = max(s, 0.92)
-                if s:
-                    out[t] = s
+            for i in self.single.near(w, LEAST):
+                if s := similarity(self.tokens[i], w, LEAST):
+                    out[self.tokens[i]] = s
+            for t in self.starts.get(w[:3], ()) if len(w) >= 3 else ():
+                if len(w) < len(t) and t.startswith(w):
+                    out[t] = max(out.get(t, 0.0), CUT)
             self.close[word] = out
         return self.close[word]
 
-    def closest(self, ws: list[str]) -> str:
+    def closest(self, ws: list[str]) -> Choice:
+        """The entry whose best alias is most similar, over the aliases that share a close word or nearly all letters with the value."""
         joined, near = Word("".join(ws)), [self._close(w) for w in ws]
-        best, entry = 0.0, ""
-        for a in self.aliases:
+        met = set(self.joined.near(joined, self.threshold))
+        for own in near:
+            for t in own:
+                met.update(self.of_token[t])
+        scores: dict[str, float] = {}
+        for i in sorted(met):
+            a = self.aliases[i]
             score = similarity(a.joined, joined, self.threshold)
-            if len(ws) > 1 or len(a.tokens) > 1:
+            if len(ws) > 1 or len(a.tokens) > 1 or len(joined) >= 4:
                 free, got, size = list(range(len(ws))), 0.0, 0
                 for t in sorted(a.tokens, key=len, reverse=True):
                     size += len(t)
@@ -195,11 +264,12 @@ class Matcher(dict):
                         got += len(t) * near[i][t]
                         free.remove(i)
                 score = max(score, got / (size + 0.25 * sum(len(ws[i]) for i in free)))
-            if score > best:
-                best, entry = score, a.entry
-        return entry if best >= self.threshold else ""
+            if score > scores.get(a.entry, 0.0):
+                scores[a.entry] = score
+        return _choice(scores)
 
 
+FIELDS = {"type_id": ("entry", pa.string()), "score": ("score", pa.float64()), "runner_up": ("runner_up", pa.string()), "next_score": ("next_score", pa.float64())}
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
@@ -213,9 +283,9 @@ def aliases_of(entries: DataFrame, entry: str, single: list[str], several: list[
 
 
 def map_values(df: DataFrame, value: str, aliases: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
-    """`df` with a column type_id: the id of the entry that `value` means, '' if it means none.
+    """`df` with type_id, the id of the entry that `value` means, '' if it means none, its score, and runner_up and next_score, the best other entry.
 
-    A null value gives null. No shuffle: every task maps its own rows and remembers the values it has met, so a value that a third of all
+    For a value that means none the runner-up is what it came closest to. A null value gives nulls. No shuffle: every task maps its own rows and remembers the values it has met, so a value that a third of all
     rows hold is mapped once per worker. An empty list maps everything to ''.
     """
     shared = df.sparkSession.sparkContext.broadcast((tuple(sorted(set(aliases))), threshold))
@@ -227,8 +297,9 @@ def map_values(df: DataFrame, value: str, aliases: list[tuple[str, str]], thresh
             _MATCHERS[key] = Matcher(list(shared.value[0]), shared.value[1])
         matcher = _MATCHERS[key]
         for b in batches:
-            ids = [None if v is None else matcher[v] for v in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.string())], names=[*b.schema.names, "type_id"])
+            got = [None if v is None else matcher[v] for v in b.column(at).to_pylist()]
+            more = [pa.array([None if g is None else getattr(g, f) for g in got], kind) for f, kind in FIELDS.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *FIELDS])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, type_id string")
+    return df.mapInArrow(run, f"{schema}, type_id string, score double, runner_up string, next_score double")

@@ -107,8 +107,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every freely written value with the id of the entry meant, '' where it means none, and its number of records."""
-    return _mapped(spark, sf_dir).groupBy("table_name", "value", "type_id").agg(F.count(F.lit(1)).alias("n_records"))
+    """Every freely written value with the id of the entry meant, '' where it means none, its score and runner-up, and its number of records.
+
+    tie: two entries score alike, and the least id was taken.
+    """
+    keys = ["table_name", "value", "type_id", "score", "runner_up", "next_score"]
+    rows = _mapped(spark, sf_dir).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_records"))
+    return rows.withColumn("tie", F.expr("type_id <> '' and runner_up <> '' and score = next_score"))
 
 
 FIELDS = {"entities": ("entity_id", ["free_type", "mention_text"]), "relations": ("relation_id", ["free_type"])}

@@ -14,6 +14,7 @@ MEANT = [
     ("Honey_colony", "honey_colony"), ("\tnaed  appl  sort\xa0", "orchard_cultivar"), ("Plot bench", "valley_terrace"), ("DITCH.OF.WATERING", "irrigation_channel"), ("Orchard Cult.\n", "orchard_cultivar"),
     ("KÍ11ÍNG CO1D SNAP", "late_frost"), ("ＯｒｃｈａｒｄＣｕｌｔｉｖａｒ", "orchard_cultivar"), ("possible bee nation (?)", "honey_colony"), ("BOROUGHTRADING", "market_town"), ("Po11ínates", "pollinates"),
     ("TAUNHT IN", "taught_in"), ("LARVALFREELOADER", "brood_parasite"), ("local larval freeloader near a honey colony", "brood_parasite"), ("Parched_Weeks", "drought_spell"), ("secatres", "pruning_tool"),
+    ("POSSIBLEBEENATION", "honey_colony"), ("NATIONBEE", "honey_colony"), ("Kind of Bee nation", "honey_colony"), ("polli.", "pollinates"), ("CUTIVARORCHARD", "orchard_cultivar"),
 ]
 NONE = ["poem", "ice rink", "n/a", "-", "…", "42", "tram ticket", "Vulkanologie", "unknown", "chess opening", "​", "x" * 20_000]
 
@@ -25,7 +26,28 @@ def matcher():
 
 @pytest.mark.parametrize("value, entry", MEANT + [(v, "") for v in NONE])
 def test_meaning(matcher, value, entry):
-    assert matcher[value] == entry
+    assert matcher[value].entry == entry
+
+
+def test_ties_and_margins_show():
+    own = ca.Matcher([("b", "long hive"), ("a", "Long Hive"), ("c", "long dive"), ("d", "frame")], ca.THRESHOLD)
+    assert own["a long hive"] == ca.Choice("a", 1.0, "b", 1.0)
+    assert own["long xive"].score == own["long xive"].next_score and own["long xive"].entry == "a"
+    assert own["frame"].entry == "d" and own["frame"].score > own["frame"].next_score
+    none = own["lo"]
+    assert none.entry == "" and none.score == 0.0
+
+
+def test_index_finds_what_a_walk_over_all_aliases_finds(matcher):
+    rnd = random.Random(9)
+    every = ca.Matcher(NAMES, ca.THRESHOLD)
+    every.joined.near = lambda word, least: list(range(len(every.aliases)))
+    every.single.near = lambda word, least: list(range(len(every.tokens)))
+    for _ in range(400):
+        w = list(rnd.choice(NAMES)[1])
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = rnd.choice("abcdeinorst _")
+        assert matcher["".join(w)] == every["".join(w)]
 
 
 def _osa(a, b):
