@@ -114,7 +114,8 @@ class Mixture:
         wanted = list({r["source"]: {k: v or 0 for k, v in r.asDict().items()} for r in wanted}.values())
         rows = sizes.select(F.col(key).alias("key"), "source", F.col("n_tokens").alias("size")).where("key is not null")
         rows = rows.groupBy("key", "source").agg(F.max("size").alias("size"))
-        stock = {r["source"]: r for r in rows.where(F.col("source").isin([r["source"] for r in wanted])).groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
+        listed = F.broadcast(spark.createDataFrame([(r["source"],) for r in wanted], "source string"))  # at most MAX_SOURCES
+        stock = {r["source"]: r for r in rows.join(listed, "source", "left_semi").groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
         has = {r["source"]: r for r in wanted if r["source"] in stock and (stock[r["source"]]["tokens"] or 0) > 0 and r["target_share"] > 0 and r["max_repeats"] > 0}
         share = sum(r["target_share"] for r in has.values()) or 1.0
         most = min((r["max_repeats"] * stock[s]["tokens"] * share / r["target_share"] for s, r in has.items()), default=0.0)

@@ -92,10 +92,10 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists["cast_entities"] = lists["entities"]
     out = None
     for table, (record, value) in FREE_TYPES.items():
-        known = sorted({e for e, _ in lists[table]})
+        known = F.broadcast(spark.createDataFrame([(e,) for e in sorted({e for e, _ in lists[table]})], "value string"))  # bounded by aliases_of
         rows = read(spark, sf_dir, table).select(F.lit(table).alias("table_name"), F.col(record).alias("record_id"), F.col(value).alias("value"))
         # copies are equal in everything, so they meet before the values are mapped
-        rows = rows.where(F.col("record_id").isNotNull() & ~F.col("value").rlike(r"^[\s\h\x{85}\x{2028}\x{2029}]*$") & ~F.col("value").isin(known)).distinct()
+        rows = rows.where(F.col("record_id").isNotNull() & ~F.col("value").rlike(r"^[\s\h\x{85}\x{2028}\x{2029}]*$") & F.col("value").isNotNull()).join(known, "value", "left_anti").select("table_name", "record_id", "value").distinct()
         part = map_values(rows, "value", lists[table])
         out = part if out is None else out.unionByName(part)
     return out

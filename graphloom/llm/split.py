@@ -32,13 +32,13 @@ def _hard(text: str, low: int, at: int) -> int:
     return cut if cut > low else at
 
 
-def _snap(text: str, low: int, target: int, high: int) -> int:
-    """The strongest boundary in (low, high], of equals the one nearest to the target; else a hard cut."""
+def _snap(text: str, low: int, target: int, high: int) -> int | None:
+    """The strongest boundary in (low, high], of equals the one nearest to the target; None if there is none."""
     for _, pattern in BOUNDARIES:
         ends = [m.end() for m in pattern.finditer(text, low, high) if low < m.end() <= high]
         if ends:
             return min(ends, key=lambda e: (abs(e - target), e))
-    return _hard(text, low, min(max(target, low + 1), high))
+    return None
 
 
 def _overlap(text: str, cut: int, most: int, low: int) -> int:
@@ -59,28 +59,41 @@ def spans(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[int, i
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    fresh = limit - overlap  # characters that a piece after the first can add
-    count = 1 + -(-(n - limit) // fresh)
-    while True:
-        out, begin, end = [], 0, 0
-        slack = max(1, n // count // 4)
-        while end < n and len(out) < count:
-            left = count - len(out)
-            if left == 1 or n - begin <= limit and n - end <= n / count:
-                cut = n
-            else:
-                target = end + round((n - end) / left)
-                # what remains must still fit into the pieces that are left
-                low = max(end + 1, begin + overlap + 1, target - slack, n - (left - 1) * fresh)
-                high = min(begin + limit, target + slack, n - 1)
-                cut = _snap(text, low - 1, target, high) if low <= high else begin + limit + 1
-            if cut - begin > limit:
-                break
-            out.append((begin, cut))
-            begin, end = _overlap(text, cut, overlap, begin + 1), cut
-        if end == n:
-            return out
+    count = 1 + -(-(n - limit) // (limit - overlap))
+    while (found := _pieces(text, count, limit, overlap)) is None:
         count += 1
+    if found[1] and (more := _pieces(text, count + 1, limit, overlap)) is not None and more[1] < found[1]:
+        return more[0]
+    return found[0]
+
+
+def _pieces(text: str, count: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], int] | None:
+    """At most `count` balanced pieces and how many of their cuts are hard ones; None if a piece would exceed the limit.
+
+    A cut snaps to a boundary near its target; where there is none, to the nearest strongest one of all places that the limit permits.
+    """
+    n, fresh = len(text), limit - overlap  # fresh: characters that a piece after the first can add
+    out, begin, end, hard = [], 0, 0, 0
+    slack = max(1, n // count // 4)
+    while end < n and len(out) < count:
+        left = count - len(out)
+        if left == 1 or n - begin <= limit and n - end <= n / count:
+            cut = n
+        else:
+            target = end + round((n - end) / left)
+            # what remains must still fit into the pieces that are left
+            least, most = max(end + 1, begin + overlap + 1, n - (left - 1) * fresh), min(begin + limit, n - 1)
+            low, high = max(least, target - slack), min(most, target + slack)
+            if low > high:
+                return None
+            cut = _snap(text, low - 1, target, high) or _snap(text, least - 1, target, most)
+            if cut is None:
+                cut, hard = _hard(text, low - 1, min(max(target, low), high)), hard + 1
+        if cut - begin > limit:
+            return None
+        out.append((begin, cut))
+        begin, end = _overlap(text, cut, overlap, begin + 1), cut
+    return (out, hard) if end == n else None
 
 
 def split_texts(df: DataFrame, key: str, text: str, limit: int = 4000, overlap: int = 200) -> DataFrame:

@@ -56,3 +56,12 @@ def test_table(spark):
     assert split_texts(df.limit(0), "doc_id", "source_text").isEmpty()
     with pytest.raises(ValueError):
         split_texts(df, "doc_id", "source_text", 100, 60)
+
+
+def test_a_boundary_far_from_the_target_is_better_than_a_hard_cut():
+    text = "ab " * 430 + "x" * 2400 + " cd" * 430
+    s = _check(text, 4000, 200)
+    assert len(s) == 2 and all(text[b - 1] == " " or text[b : b + 1] == " " for _, b in s[:-1])
+    # with one piece more, the cuts avoid the run
+    text = "ab " * 100 + "x" * 3600 + " cd" * 1230
+    assert all(text[b - 1] == " " for _, b in _check(text, 4000, 200)[:-1])
