@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import ContextSettings, Density
 from graphloom.errors import ResponseError
+from graphloom.operators.context import whole_requests
 from graphloom.functions.text import strip, target_entities, target_relations, word_count
 from graphloom.sources.wire import explode_records, parse
 
@@ -62,7 +63,7 @@ class TableExtractor:
         if self.stored is not None:
             return self.stored.join(docs.select("doc_id"), "doc_id", "left_semi")
         said = F.concat(F.lit("Context for "), F.coalesce(F.nullif("raw_mention", F.lit("")), F.col("id")), F.lit("."))
-        return nodes.select("doc_id", "ord", F.col("id").alias("entity_id"), said.alias("summary"), F.array().cast("array<string>").alias("evidence"), F.lit("").alias("uncertainty"))
+        return nodes.where("page = 0").select("doc_id", "ord", F.col("id").alias("entity_id"), said.alias("summary"), F.array().cast("array<string>").alias("evidence"), F.lit("").alias("uncertainty"))
 
 
 class RuleExtractor(TableExtractor):
@@ -133,6 +134,7 @@ class ClientExtractor:
         return explode_records(answers, "entities"), explode_records(answers, "relations")
 
     def contexts(self, docs, nodes):
+        nodes = whole_requests(nodes)
         body = [c for c in nodes.columns if c != "doc_id"]
         lists = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.to_json(F.struct(*body)).alias("node")))).alias("x"))
         met = docs.select("doc_id", F.col("text").alias("source_text")).join(lists, "doc_id")

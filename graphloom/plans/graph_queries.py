@@ -187,7 +187,7 @@ def node_adjacency(spark, d):
 
 def node_requests(spark, d):
     rows = context.node_requests(*Tables(spark, d).typed())
-    return rows.select("doc_id", "id", "raw_mention", "ontology_type", "canonical_name", F.array_join("incoming_relations.id", ",").alias("incoming"), F.array_join("outgoing_relations.id", ",").alias("outgoing"), "truncated")
+    return rows.select("doc_id", "id", "raw_mention", "ontology_type", "canonical_name", "page", F.array_join("incoming_relations.id", ",").alias("incoming"), F.array_join("outgoing_relations.id", ",").alias("outgoing"))
 
 
 def _contexts(t: Tables) -> DataFrame:
@@ -250,9 +250,6 @@ def triangle_counts(spark, d):
 # The fixture graphs over the star schema.
 
 
-STAR_FIXTURE = "l_quantity >= 50 and l_discount >= 0.04"  # the line items of star_report and star_whole, whose recursive SQL bears no more
-
-
 def star_graph(spark, d, where: str = "true") -> tuple[DataFrame, DataFrame]:
     """One graph per brand: parts and suppliers joined by the line items, all of them or those of a condition."""
     part = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("doc_id"))
@@ -262,38 +259,20 @@ def star_graph(spark, d, where: str = "true") -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _star_report(spark, d, where: str = "true") -> DataFrame:
+def star_report(spark, d, where: str = "true"):
+    """Reports of the brands' graphs over all line items, after normalisation."""
     nodes, edges = (cut(t) for t in star_graph(spark, d, where))
     kept = normalize.normalize(nodes.select("doc_id", "ord", "entity_id"), edges, cut(weak_components(nodes, edges)))
     out = report.validation_report(cut(kept.entities), cut(kept.relations), texts=False)
     return out.select("doc_id", "valid", "node_count", "edge_count", "density", "max_neighbor_count", "hub_count", F.array_join("codes", ",").alias("codes"))
 
 
-def _star_whole(spark, d, where: str = "true") -> DataFrame:
+def star_whole(spark, d, where: str = "true"):
+    """Components of all brands in one graph over all line items, by alternating stars."""
     _, edges = star_graph(spark, d, where)
     return star_components(edges, "source_id", "target_id").groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def star_report(spark, d):
-    """Reports of the brands' graphs over the line items of STAR_FIXTURE alone; star_report_all has all line items."""
-    return _star_report(spark, d, STAR_FIXTURE)
-
-
-def star_report_all(spark, d):
-    """Reports of the brands' graphs over all line items. Without SQL: a recursive one holds every pair of connected nodes."""
-    return _star_report(spark, d)
-
-
-def star_whole(spark, d):
-    """Components of all brands in one graph, by alternating stars, over the line items of STAR_FIXTURE alone; star_whole_all has all."""
-    return _star_whole(spark, d, STAR_FIXTURE)
-
-
-def star_whole_all(spark, d):
-    """Components of all brands in one graph over all line items, by alternating stars. Without SQL, as star_report_all."""
-    return _star_whole(spark, d)
-
-
 def event_graph(spark, d) -> tuple[DataFrame, DataFrame]:
     """One graph per user: event types joined by consecutive events."""
     from pyspark.sql import Window
@@ -318,5 +297,5 @@ QUERIES = {
     "unknown_cast_types": unknown_cast_types, "label_completeness": label_completeness, "relation_rows": relation_rows, "node_adjacency": node_adjacency,
     "node_requests": node_requests, "context_issues": context_issues, "trimmed_contexts": trimmed_contexts, "dot_lines": dot_lines, "run_metadata": run_metadata,
     "ontology_closure": ontology_closure, "domain_range": domain_range, "inverse_edges": inverses, "motif_counts": motif_counts, "triangle_counts": triangle_counts,
-    "star_report": star_report, "star_whole": star_whole, "star_report_all": star_report_all, "star_whole_all": star_whole_all, "event_report": event_report,
+    "star_report": star_report, "star_whole": star_whole, "event_report": event_report,
 }

@@ -112,12 +112,25 @@ FROM {cast} WHERE ontology_type IS NULL OR ontology_type NOT IN (SELECT id FROM
 
 _STAR = """
 WITH RECURSIVE links AS (
-  SELECT p_brand AS doc_id, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.04),
+  SELECT p_brand AS doc_id, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem JOIN part ON p_partkey = l_partkey),
 ids AS (SELECT DISTINCT doc_id, entity_id, 0 AS ord FROM (SELECT doc_id, source_id AS entity_id FROM links UNION ALL SELECT doc_id, target_id FROM links)),
 simple AS (SELECT DISTINCT doc_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM links),
 """
 
+# Components by least labels, one row per node, where all pairs of connected nodes would be too many.
+_KEYED = """
+both_ways AS (SELECT doc_id, a AS x, b AS y FROM simple UNION SELECT doc_id, b, a FROM simple),
+label(doc_id, entity_id, component_id) USING KEY (doc_id, entity_id) AS (
+  SELECT doc_id, entity_id, entity_id FROM ids
+  UNION SELECT w.doc_id, w.y, min(label.component_id) FROM label JOIN both_ways w ON w.doc_id = label.doc_id AND w.x = label.entity_id
+  JOIN recurring.label AS r ON r.doc_id = w.doc_id AND r.entity_id = w.y WHERE label.component_id < r.component_id GROUP BY w.doc_id, w.y),
+comp AS (SELECT * FROM label),
+csize AS (SELECT doc_id, component_id, count(*) AS size FROM comp GROUP BY ALL),
+top AS (
+  SELECT doc_id, component_id, size, count(*) OVER (PARTITION BY doc_id) AS component_count FROM csize
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, component_id) = 1),
+"""
+
 SQL = {
     "target_counts": f"""
 SELECT doc_id, entities_per_word, relations_per_entity, w AS word_count, te AS target_entity_count, CAST(round_even(te * relations_per_entity, 0) AS INT) AS target_relation_count
@@ -168,12 +181,16 @@ UNION ALL SELECT doc_id, 'edge', source_id || '->' || target_id FROM edges WHERE
 SELECT doc_id, target_id AS entity_id, 'incoming' AS direction, ord, relation_id AS id, source_id AS other_id, coalesce(ontology_type, free_type) AS relation FROM edges
 UNION ALL SELECT doc_id, source_id, 'outgoing', ord, relation_id, target_id, coalesce(ontology_type, free_type) FROM edges""",
     "node_requests": _cut(_BASE) + """
-, sides AS (SELECT doc_id, target_id AS entity_id, 'i' AS d, ord, relation_id FROM edges UNION ALL SELECT doc_id, source_id, 'o', ord, relation_id FROM edges),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_id, d ORDER BY ord, relation_id) AS k FROM sides),
+, sides AS (
+  SELECT doc_id, target_id AS entity_id, 'i' AS d, ord, relation_id, ord // 1000 AS run FROM edges UNION ALL SELECT doc_id, source_id, 'o', ord, relation_id, ord // 1000 FROM edges),
+runs AS (SELECT doc_id, entity_id, d, run, count(*) AS n FROM sides GROUP BY ALL),
+pages AS (
+  SELECT doc_id, entity_id, d, run, CASE WHEN sum(n) OVER (PARTITION BY doc_id, entity_id, d) <= 1000 THEN 0
+    ELSE coalesce(sum(n) OVER (PARTITION BY doc_id, entity_id, d ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 END AS page FROM runs),
 lists AS (
-  SELECT doc_id, entity_id, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'i' AND k <= 999) AS i, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'o' AND k <= 999) AS o, max(k) > 999 AS over
-  FROM ranked GROUP BY ALL)
-SELECT doc_id, entity_id AS id, mention_text AS raw_mention, ontology_type, coalesce(canonical_name, '') AS canonical_name, coalesce(i, '') AS incoming, coalesce(o, '') AS outgoing, coalesce(over, false) AS truncated
+  SELECT doc_id, entity_id, page, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'i') AS i, string_agg(relation_id, ',' ORDER BY ord, relation_id) FILTER (d = 'o') AS o
+  FROM sides JOIN pages USING (doc_id, entity_id, d, run) GROUP BY ALL)
+SELECT doc_id, entity_id AS id, mention_text AS raw_mention, ontology_type, coalesce(canonical_name, '') AS canonical_name, CAST(coalesce(page, 0) AS INT) AS page, coalesce(i, '') AS incoming, coalesce(o, '') AS outgoing
 FROM nodes LEFT JOIN lists USING (doc_id, entity_id)""",
     "context_issues": _cut(_BASE) + f"""
 , c AS (SELECT doc_id, ord, entity_id, coalesce(evidence, '') AS summary, CAST(evidence IS NOT NULL AS INT) + CAST(description IS NOT NULL AS INT) + CAST(mention_text IS NOT NULL AS INT) AS items FROM e WHERE ord <> 3),
@@ -211,7 +228,7 @@ FROM edges x JOIN edges y ON x.doc_id = y.doc_id AND x.target_id = y.source_id A
     "triangle_counts": _cut(_BASE) + """
 SELECT x.doc_id, count(*) AS triangles FROM simple x JOIN simple y ON x.doc_id = y.doc_id AND x.b = y.a AND y.a < y.b JOIN simple z ON z.doc_id = x.doc_id AND z.a = x.a AND z.b = y.b
 WHERE x.a < x.b GROUP BY x.doc_id""",
-    "star_report": _STAR + _REACH + """
+    "star_report": _STAR + _KEYED + """
 kept AS (SELECT c.doc_id, c.entity_id FROM comp c JOIN top USING (doc_id, component_id)),
 klinks AS (SELECT l.* FROM links l JOIN kept k ON k.doc_id = l.doc_id AND k.entity_id = l.source_id),
 ksimple AS (SELECT s.* FROM simple s JOIN kept k ON k.doc_id = s.doc_id AND k.entity_id = s.a),
@@ -224,12 +241,12 @@ full_ AS (SELECT *, m / (node_count * (node_count - 1))::DOUBLE * 2e0 AS density
 SELECT doc_id, density <= 0.4e0 AND hub_count = 0 AS valid, node_count, edge_count, density, max_neighbor_count, hub_count,
   concat_ws(',', CASE WHEN density > 0.4e0 THEN 'DENSITY' END, CASE WHEN hub_count > 0 THEN 'HUBS' END) AS codes FROM full_""",
     "star_whole": """
-WITH RECURSIVE l AS (
-  SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 50 AND l_discount >= 0.04),
+WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN part ON p_partkey = l_partkey),
 w AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
-reach AS (SELECT x, x AS y FROM w UNION SELECT reach.x, w.y FROM reach JOIN w ON w.x = reach.y),
-comp AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
-SELECT component, count(*) AS size FROM comp GROUP BY ALL""",
+comp(x, label) USING KEY (x) AS (
+  SELECT DISTINCT x, x FROM w
+  UNION SELECT w.y, min(comp.label) FROM comp JOIN w ON w.x = comp.x JOIN recurring.comp AS r ON r.x = w.y WHERE comp.label < r.label GROUP BY w.y)
+SELECT label AS component, count(*) AS size FROM comp GROUP BY ALL""",
     "event_report": """
 WITH l AS (SELECT user_id AS doc_id, event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
 n AS (SELECT user_id AS doc_id, count(DISTINCT event_type) AS node_count FROM events GROUP BY ALL),

@@ -185,18 +185,22 @@ def test_adjacency_and_requests(spark):
     n, e = graph.build_nodes(entities(spark, g), spark.createDataFrame([], CE)), graph.build_edges(relations(spark, g))
     got = {(r["entity_id"], r["direction"], r["id"]) for r in context.adjacency(n, e).collect()}
     assert got == {("a", "outgoing", "r0"), ("b", "incoming", "r0"), ("b", "incoming", "r1"), ("b", "outgoing", "r1"), ("a", "outgoing", "r2"), ("b", "incoming", "r2")}
-    rows = {r["id"]: r for r in context.node_requests(n, e, held=2).collect()}
-    assert [x["id"] for x in rows["b"]["incoming_relations"]] == ["r0", "r1"] and rows["b"]["truncated"]
-    assert rows["c"]["incoming_relations"] == [] and not rows["c"]["truncated"] and rows["c"]["canonical_name"] == ""
+    rows = {(r["id"], r["page"]): r for r in context.node_requests(n, e).collect()}
+    assert set(rows) == {("a", 0), ("b", 0), ("c", 0)} and [x["id"] for x in rows["b", 0]["incoming_relations"]] == ["r0", "r1", "r2"]
+    assert rows["c", 0]["incoming_relations"] == [] and rows["c", 0]["canonical_name"] == ""
 
 
-def test_requests_list_every_relation_of_a_hub(spark):
-    g = {1: (["hub", "x"], [("hub", "x")] * 1_200 + [("x", "hub")] * 1_100)}
+@pytest.mark.parametrize("page", [7, 500, 5000])
+def test_requests_list_every_relation_of_a_hub(spark, page):
+    g = {1: (["hub", "x"], [("hub", "x")] * 1_200 + [("x", "hub")] * 1_100), 2: (["hub", "y"], [("hub", "y")])}
     n, e = graph.build_nodes(entities(spark, g), spark.createDataFrame([], CE)), graph.build_edges(relations(spark, g))
-    hub = next(r for r in context.node_requests(n, e).collect() if r["id"] == "hub")
-    assert [x["id"] for x in hub["outgoing_relations"]] == [f"r{i}" for i in range(1_200)]
-    assert [x["id"] for x in hub["incoming_relations"]] == [f"r{i}" for i in range(1_200, 2_300)]
-    assert not hub["truncated"]
+    pages = context.node_requests(n, e, page)
+    rows = pages.where("doc_id = 1 and id = 'hub'").orderBy("page").collect()
+    assert max(len(r[c]) for r in rows for c in ("incoming_relations", "outgoing_relations")) < 2 * page
+    assert [x["id"] for r in rows for x in r["outgoing_relations"]] == [f"r{i}" for i in range(1_200)]
+    assert [x["id"] for r in rows for x in r["incoming_relations"]] == [f"r{i}" for i in range(1_200, 2_300)]
+    whole = {(r["doc_id"], r["id"]): r for r in context.whole_requests(pages).collect()}
+    assert len(whole) == 4 and [x["id"] for x in whole[1, "hub"]["outgoing_relations"]] == [f"r{i}" for i in range(1_200)]
 
 
 def test_report_names_every_hub(spark):

@@ -45,11 +45,11 @@ def _check(spark, folder):
     graphs = defaultdict(list)
     for p, s in items:
         graphs[brand[p]].append((f"p{p}", f"s{s}"))
-    rows = q.star_report_all(spark, folder).collect()
+    rows = q.star_report(spark, folder).collect()
     got = {r["doc_id"]: (r["valid"], r["node_count"], r["edge_count"], round(r["density"], 12), r["max_neighbor_count"], r["hub_count"], r["codes"]) for r in rows}
     assert got == {b: _report(e) for b, e in graphs.items()}
     whole = Counter(_components([e for g in graphs.values() for e in g]).values())
-    assert {r["component"]: r["size"] for r in q.star_whole_all(spark, folder).collect()} == dict(whole)
+    assert {r["component"]: r["size"] for r in q.star_whole(spark, folder).collect()} == dict(whole)
 
 
 def test_star_of_low_quantities(spark, tmp_path):
@@ -68,3 +68,15 @@ def test_star_over_the_whole_table(spark):
         pytest.skip("no test tables here")
     assert q.star_graph(spark, str(DATA))[1].count() == q.read(spark, str(DATA), "lineitem").count()
     _check(spark, str(DATA))
+
+
+# Graphs, nodes, edges, components and largest component over the line items of quantity 50 alone.
+LOW = (24, 198, 124, 76, 7)
+
+
+def test_star_of_high_quantities(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    nodes, edges = q.star_graph(spark, str(DATA), "l_quantity >= 50")
+    sizes = q.report.component_sizes(q.weak_components(nodes, edges)).collect()
+    assert (len({r["doc_id"] for r in sizes}), nodes.count(), edges.count(), len(sizes), max(r["size"] for r in sizes)) == LOW
