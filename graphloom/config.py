@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-DEFAULT_MODEL = "gpt-4o-mini"  # fixed value
+from graphloom.codec import Stored
+
+# Names of settings, their defaults and the policies.
+DEFAULT_MODEL = "gpt-4o-mini"
 POLICIES = ("largest_component", "raise", "preserve")
 CONTEXT_POLICIES = ("all_nodes", "disabled")
 CONTEXT_ALIASES = {"per_node": "all_nodes", "none": "disabled"}  # accepted by the pipeline, not by its settings
@@ -18,45 +20,24 @@ def _require(ok: bool, text: str) -> None:
         raise ValueError(text)
 
 
-def _coerced(cls, data: Mapping, kinds: Mapping) -> dict:
-    """The given keys of `data`, each through its kind. bool("false") is True, as for any non-empty string."""
-    return {k: kind(data[k]) for k, kind in kinds.items() if k in data}
-
-
 @dataclass(frozen=True)
-class Density:
+class Density(Stored):
     """How many entities and relations to aim for."""
 
     entities_per_word: float = 0.1
     relations_per_entity: float = 2.0
 
     def __post_init__(self):
-        for name in ("entities_per_word", "relations_per_entity"):
-            _require(getattr(self, name) >= 0, f"{name} must be non-negative.")
-
-    @classmethod
-    def from_mapping(cls, data: Mapping) -> Density:
-        return cls(**_coerced(cls, data, {"entities_per_word": float, "relations_per_entity": float}))
-
-    @classmethod
-    def from_json(cls, text: str) -> Density:
-        data = json.loads(text)
-        _require(isinstance(data, Mapping), "the density settings must be a JSON object")
-        return cls.from_mapping(data)
+        for f in fields(self):
+            _require(getattr(self, f.name) >= 0, f"{f.name} is below 0")
 
     @classmethod
-    def from_json_file(cls, path) -> Density:
-        return cls.from_json(Path(path).read_text(encoding="utf-8"))
-
-    def to_mapping(self) -> dict:
-        return asdict(self)
-
-    def to_json(self, indent: int = 2) -> str:
-        return json.dumps(self.to_mapping(), ensure_ascii=False, indent=indent, sort_keys=True)
+    def taken(cls) -> Mapping:
+        return {f.name: float for f in fields(cls)}
 
 
 @dataclass(frozen=True)
-class ContextSettings:
+class ContextSettings(Stored):
     """Limits on the contexts of nodes."""
 
     max_sentences: int = 3
@@ -65,15 +46,13 @@ class ContextSettings:
     include_uncertainty: bool = True
 
     def __post_init__(self):
-        _require(self.max_sentences >= 1, "max_sentences must be at least 1.")
-        _require(self.max_evidence_items >= 0, "max_evidence_items must be non-negative.")
+        _require(self.max_sentences > 0, "max_sentences is below 1")
+        _require(self.max_evidence_items >= 0, "max_evidence_items is below 0")
 
     @classmethod
-    def from_mapping(cls, data: Mapping) -> ContextSettings:
-        return cls(**_coerced(cls, data, {"max_sentences": int, "max_evidence_items": int, "include_evidence": bool, "include_uncertainty": bool}))
-
-    def to_mapping(self) -> dict:
-        return asdict(self)
+    def taken(cls) -> Mapping:
+        """bool("false") is True, as for any text that isn't empty."""
+        return {"max_sentences": int, "max_evidence_items": int, "include_evidence": bool, "include_uncertainty": bool}
 
 
 @dataclass(frozen=True)
@@ -85,13 +64,13 @@ class Limits:
     max_hub_nodes: int = 0
 
     def __post_init__(self):
-        _require(0 < self.max_density <= 1, "max_density must be in (0, 1].")
-        _require(0 < self.max_degree_fraction <= 1, "max_degree_fraction must be in (0, 1].")
-        _require(self.max_hub_nodes >= 0, "max_hub_nodes must be non-negative.")
+        for name in ("max_density", "max_degree_fraction"):
+            _require(0 < getattr(self, name) <= 1, f"{name} is not above 0 and up to 1")
+        _require(self.max_hub_nodes >= 0, "max_hub_nodes is below 0")
 
 
 @dataclass(frozen=True)
-class Settings:
+class Settings(Stored):
     """All settings of a pipeline."""
 
     model: str = DEFAULT_MODEL
@@ -107,22 +86,18 @@ class Settings:
     max_hub_nodes: int = 0
 
     def __post_init__(self):
-        _require(bool(self.model.strip()), "model must not be empty.")
-        _require(self.disconnected_policy in POLICIES, f"disconnected_policy must be one of {', '.join(POLICIES)}.")
-        _require(self.context_policy in CONTEXT_POLICIES, f"context_policy must be one of {', '.join(CONTEXT_POLICIES)}.")
+        _require(self.model.strip() != "", "a model must be named")
+        for name, known in (("disconnected_policy", POLICIES), ("context_policy", CONTEXT_POLICIES)):
+            _require(getattr(self, name) in known, f"{name} is none of {known}")
 
     @property
     def limits(self) -> Limits:
         return Limits(self.max_density, self.max_degree_fraction, self.max_hub_nodes)
 
     @classmethod
-    def from_mapping(cls, data: Mapping) -> Settings:
-        kinds = {
-            "model": str, "extraction_density": Density.from_mapping, "node_context": ContextSettings.from_mapping, "disconnected_policy": str, "context_policy": str,
-            "strict_validation": bool, "max_density": float, "max_degree_fraction": float, "max_hub_nodes": int,
-        }
-        paths = {k: data[k] for k in ("prompt_template_path", "prompt_snapshot_path") if data.get(k) is not None}
-        return cls(**_coerced(cls, data, kinds), **paths)
+    def taken(cls) -> Mapping:
+        kinds = {"model": str, "extraction_density": Density.from_mapping, "node_context": ContextSettings.from_mapping, "strict_validation": bool, "max_hub_nodes": int}
+        return kinds | dict.fromkeys(("disconnected_policy", "context_policy"), str) | dict.fromkeys(("max_density", "max_degree_fraction"), float) | dict.fromkeys(("prompt_template_path", "prompt_snapshot_path"), lambda p: p)
 
     def to_mapping(self) -> dict:
         out = {}

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.errors import MissingDependency
+from graphloom.codec import decode
 from graphloom.util import cut, small
 
 ENTITY_TYPES = "id string, label string, parent string, description string, abstract boolean, synonyms array<string>, examples array<string>, attributes array<string>"
@@ -31,13 +31,7 @@ class Ontology:
     @classmethod
     def from_yaml(cls, path) -> Ontology:
         """An empty file is an empty ontology; a root that is no mapping is refused."""
-        try:
-            import yaml
-        except ImportError as e:
-            raise MissingDependency("PyYAML is needed to read an ontology") from e
-        data = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-        if not isinstance(data, Mapping):
-            raise ValueError("an ontology must be a mapping")
+        data = decode(Path(path).read_text(encoding="utf-8"), "yaml", "an ontology")
         return cls.from_mapping(data)
 
     @classmethod

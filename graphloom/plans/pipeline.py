@@ -61,11 +61,11 @@ class Pipeline:
             raise ValueError(f"unknown context policy {policy!r}")
         if self.prompt is None:
             path = self.settings.prompt_template_path
-            self.prompt = Prompt.from_yaml_file(path) if path else Prompt.default()
+            self.prompt = Prompt.load(path) if path else Prompt.default()
         if not self.prompt.rendered:  # a rendered prompt is taken as it is
             self.prompt = self.prompt.render(self.ontology, self.settings.extraction_density, self.settings.model, self.settings.node_context)
         if self.settings.prompt_snapshot_path:
-            self.prompt.write_yaml(self.settings.prompt_snapshot_path)
+            self.prompt.save(self.settings.prompt_snapshot_path)
 
     def run(self, docs: DataFrame, text: str = "text") -> Result:
         """docs(doc_id, text), one row per document. The extractor's tables are written once (util.cut): no recomputation asks it again."""

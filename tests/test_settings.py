@@ -23,10 +23,10 @@ def test_settings_round_trip():
 
 def test_density_and_context_settings(tmp_path):
     (tmp_path / "d.json").write_text('{"entities_per_word": 0.05, "relations_per_entity": 1}')
-    d = Density.from_json_file(tmp_path / "d.json")
-    assert Density.from_json(d.to_json()) == d == Density(0.05, 1.0)
+    d = Density.load(tmp_path / "d.json")
+    assert Density.parse(d.text()) == d == Density(0.05, 1.0)
     with pytest.raises(ValueError):
-        Density.from_json("[1]")
+        Density.parse("[1]")
     with pytest.raises(ValueError):
         Density(-1)
     with pytest.raises(ValueError):
@@ -45,17 +45,17 @@ def test_prompt(tmp_path):
     assert r.render_context["ontology"] == {"id": "o", "version": "1"} and list(r.render_context) == ["template_name", "template_version", "ontology", "entity_type_ids", "relation_type_ids", "extraction_density", "node_context", "model"]
     with pytest.raises(ValueError):
         r.render(o, Density())
-    assert Prompt.from_json(r.to_json()) == r
-    r.write_yaml(tmp_path / "new" / "p.yaml")
-    assert Prompt.from_yaml_file(tmp_path / "new" / "p.yaml") == r
-    r.write_json(tmp_path / "p.json")
-    assert (tmp_path / "p.json").read_text().endswith("}\n") and Prompt.from_json_file(tmp_path / "p.json") == r
-    with pytest.raises(FileNotFoundError):
-        r.write_json(tmp_path / "none" / "p.json")
+    assert Prompt.parse(r.text()) == r
+    for name in ("new/p.yaml", "other/p.json"):
+        path = r.save(tmp_path / name)
+        assert path.read_text().endswith("\n") and Prompt.load(path) == r
+    assert list(json.loads((tmp_path / "other" / "p.json").read_text())) == sorted(r.to_mapping())
     with pytest.raises(ValueError, match="free_extraction_system, ontology_casting_system"):
         Prompt.from_mapping({"name": "n", "version": "v"})
     with pytest.raises(ValueError):
         Prompt(" ", "1", "a", "b")
+    with pytest.raises(ValueError):
+        Prompt.parse("[]", "yaml")
     assert Prompt("n", "1", "a", "b", " ").node_context_system == p.node_context_system
     assert len(r.sha256()) == 64 and r.sha256() != p.sha256()
 
