@@ -9,14 +9,15 @@ import json
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import ContextSettings, Density
 from graphloom.errors import ResponseError
-from graphloom.operators.context import whole_requests
 from graphloom.functions.text import strip, target_entities, target_relations, word_count
+from graphloom.operators.context import whole_requests
 from graphloom.sources.wire import explode_records, parse
+from graphloom.util import cut
 
 
 def requests(docs: DataFrame, density: Density = Density(), text: str = "text") -> DataFrame:
@@ -67,21 +68,24 @@ class TableExtractor:
 
 
 class RuleExtractor(TableExtractor):
-    """A fixed rule without any model: long words are entities, neighbours in a sentence are related. Casts everything to one type each."""
+    """A fixed rule without any model: long words are entities, neighbours in a sentence are related. Casts everything to one type each.
+
+    `ord` is the word's number among the long words of its document.
+    """
 
     def __init__(self, least: int = 7, entity_type: str = "thing", relation_type: str = "links"):
         self.least, self.types, self.stored = least, (entity_type, relation_type), None
 
     def extract(self, docs):
-        sentences = docs.select("doc_id", F.posexplode(F.split(strip(F.lower("text")), r"(?<=[.!?])\s+")).alias("s", "sentence"))
-        words = sentences.select("doc_id", "s", F.posexplode(F.regexp_extract_all("sentence", F.lit(f"([a-z]{{{self.least},}})"))).alias("p", "w"))
-        first = words.groupBy("doc_id", F.col("w").alias("entity_id")).agg(F.min(F.struct("s", "p")).alias("at"))
-        place = (F.col("at.s") * 100_000 + F.col("at.p")).cast("int").alias("ord")
-        entities = first.select("doc_id", place, "entity_id", F.col("entity_id").alias("mention_text"), F.lit("word").alias("free_type"), F.lit("").alias("description"), F.lit("").alias("evidence"), F.lit(None).cast("double").alias("confidence"))
+        cuts, word = F.split(strip(F.lower("text")), r"(?<=[.!?])\s+"), F.lit(f"([a-z]{{{self.least},}})")
+        found = F.transform(cuts, lambda x, s: F.transform(F.regexp_extract_all(x, word), lambda w: F.struct(s.alias("s"), w.alias("w"))))
+        words = docs.select("doc_id", F.posexplode(F.flatten(found)).alias("p", "x")).select("doc_id", "p", "x.s", "x.w")
+        none, no_number = F.lit(""), F.lit(None).cast("double").alias("confidence")
+        entities = words.groupBy("doc_id", F.col("w").alias("entity_id")).agg(F.min("p").alias("ord"))
+        entities = entities.select("doc_id", "ord", "entity_id", F.col("entity_id").alias("mention_text"), F.lit("word").alias("free_type"), none.alias("description"), none.alias("evidence"), no_number)
         after = words.select("doc_id", "s", (F.col("p") - 1).alias("p"), F.col("w").alias("next"))
         pairs = words.join(after, ["doc_id", "s", "p"]).where("w <> next")
-        rel = F.concat(F.lit("r"), "s", F.lit("_"), "p")
-        relations = pairs.select("doc_id", (F.col("s") * 100_000 + F.col("p")).cast("int").alias("ord"), rel.alias("relation_id"), F.col("w").alias("source_id"), F.col("next").alias("target_id"), F.lit("next to").alias("free_type"), F.lit("").alias("evidence"), F.lit(None).cast("double").alias("confidence"))
+        relations = pairs.select("doc_id", F.col("p").alias("ord"), F.concat(F.lit("r"), "p").alias("relation_id"), F.col("w").alias("source_id"), F.col("next").alias("target_id"), F.lit("next to").alias("free_type"), none.alias("evidence"), no_number)
         return entities, relations
 
     def cast(self, docs, entities, relations):
@@ -115,8 +119,6 @@ class ClientExtractor:
                         out.append((doc, json.dumps(f"{type(e).__name__}: {e}")))
                 yield pd.DataFrame(out, columns=["doc_id", "said"])
 
-        from graphloom.util import cut
-
         kind = rows.schema["doc_id"].dataType.simpleString()
         answers = cut(parse(rows.select("doc_id", "payload").mapInPandas(run, f"doc_id {kind}, said string"), "said", which))
         self.problems.append(answers.where("problem is not null").select("doc_id", F.lit(which).alias("stage"), F.lit("BAD_ANSWER").alias("code"), F.col("problem").alias("detail")))
@@ -127,22 +129,47 @@ class ClientExtractor:
         return explode_records(answers, "entities"), explode_records(answers, "relations")
 
     def cast(self, docs, entities, relations):
-        lists = [t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*(["ord"] + [c for c in t.columns if c not in ("doc_id", "ord")])))).alias(n)) for t, n in ((entities, "entities"), (relations, "relations"))]
+        lists = []
+        for table, name in ((entities, "entities"), (relations, "relations")):
+            body = F.struct(*(c for c in table.columns if c not in ("doc_id", "ord")))
+            lists.append(table.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", body.alias("r")))).alias("x")).select("doc_id", F.col("x.r").alias(name)))
         met = docs.select("doc_id", F.col("text").alias("source_text")).join(lists[0], "doc_id").join(lists[1], "doc_id", "left")
-        payload = F.to_json(F.struct("source_text", "entities", "relations", F.lit(json.dumps(self.ontology, ensure_ascii=False)).alias("ontology")))
-        answers = self._ask(met.select("doc_id", payload.alias("payload")), "cast", "casting")
+        empty = F.expr("cast(array() as array<string>)")
+        free = F.to_json(F.struct("entities", "relations"), KEEP_NULLS)
+        free = F.when(F.col("relations").isNull(), F.to_json(F.struct("entities", empty.alias("relations")), KEEP_NULLS)).otherwise(free)
+        free_object = F.concat(F.expr("left(free, length(free) - 1)"), F.lit(',"notes":""}'))  # notes are no table of the pipeline
+        payload = _object({"source_text": _text("source_text"), "free_extraction": free_object, "ontology": F.lit(json.dumps(self.ontology, ensure_ascii=False))})
+        answers = self._ask(met.withColumn("free", free).select("doc_id", payload.alias("payload")), "cast", "casting")
         return explode_records(answers, "entities"), explode_records(answers, "relations")
 
     def contexts(self, docs, nodes):
         nodes = whole_requests(nodes)
-        body = [c for c in nodes.columns if c != "doc_id"]
-        lists = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.to_json(F.struct(*body)).alias("node")))).alias("x"))
+        body = [c for c in nodes.columns if c not in ("doc_id", "ord")]
+        lists = nodes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.to_json(F.struct(*body), KEEP_NULLS).alias("node"), "outgoing_relations"))).alias("x"))
         met = docs.select("doc_id", F.col("text").alias("source_text")).join(lists, "doc_id")
-        payload = F.to_json(F.struct("source_text", F.col("x.node").alias("nodes"), F.lit(json.dumps(self.settings.to_mapping())).alias("context_config")))
+        # every relation leaves one node, so the nodes' outgoing lists are all relations
+        relations = F.to_json(F.flatten("x.outgoing_relations"), KEEP_NULLS)
+        listed = F.concat(F.lit("["), F.array_join("x.node", ","), F.lit("]"))
+        payload = _object({"source_text": _text("source_text"), "nodes": listed, "relations": relations, "ontology": F.lit(json.dumps(self.ontology, ensure_ascii=False)), "context_config": F.lit(json.dumps(self.settings.to_mapping()))})
         answers = self._ask(met.select("doc_id", payload.alias("payload")), "contexts", "contexts")
         return explode_records(answers, "contexts")
 
 
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def _text(column: str) -> Column:
+    """A text as JSON."""
+    whole = F.to_json(F.struct(F.coalesce(column, F.lit("")).alias("x")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _object(members: dict[str, Column]) -> Column:
+    """A JSON object of members that are JSON already."""
+    parts = [F.concat(F.lit(json.dumps(k) + ":"), v) for k, v in members.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def require_answers(problems: DataFrame) -> None:
     """Raises ResponseError if any answer was refused."""
     bad = problems.limit(5).collect()

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom import schemas as S
+from graphloom.errors import MissingDependency
 
 _STR, _NUM, _OPT_STR = (str,), (int, float, type(None)), (str, type(None))
 # Fixed formats: field -> admitted kinds. Every field must be there, no other may be.
@@ -70,19 +73,58 @@ def read_answer(text: str | None, which: str) -> tuple[dict | None, str | None]:
         return None, str(e)
 
 
+def _plain(value, kind: T.DataType):
+    """A parsed value as Arrow takes it: maps as lists of entries."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(value.get(f.name), f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    return list(value.items()) if isinstance(kind, T.MapType) else value
+
+
 def parse(df: DataFrame, column: str, which: str) -> DataFrame:
     """`df` with `answer` (the parsed struct, null if refused) and `problem` (null if accepted) instead of the JSON column.
 
     Spark's own from_json ignores extra keys and fills missing ones with null, so the check is done on the Python side, in Arrow batches.
     """
-    schema = T.StructType([T.StructField("answer", PASSES[which][1]), T.StructField("problem", T.StringType())])
+    kept, kind = [c for c in df.columns if c != column], PASSES[which][1]
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        for b in batches:
+            got = [read_answer(t, which) for t in b.column(len(kept)).to_pylist()]
+            answers = pa.array([_plain(a, kind) for a, _ in got], arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], answers, pa.array([p for _, p in got], pa.string())], names=[*kept, "answer", "problem"])
+
+    rows = df.select(*kept, column)
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("answer", kind), T.StructField("problem", T.StringType())])
+    return rows.mapInArrow(run, schema)
+
 
-    @F.udf(schema, useArrow=False)
-    def check(text):
-        return read_answer(text, which)
+def answer_model(which: str):
+    """The form of a pass's answer as a class of the public `pydantic` package, which refuses other fields; it is what a client of structured answers asks for."""
+    try:
+        from pydantic import ConfigDict, create_model
+    except ImportError as e:
+        raise MissingDependency("pydantic is needed for structured answers") from e
+
+    made: dict = {}
+
+    def model(form: str):
+        if form not in made:
+            made[form] = create_model(form.title().replace("_", ""), __config__=ConfigDict(extra="forbid", strict=True), **{k: (kind_of(k, kinds), ...) for k, kinds in FORMS[form].items()})
+        return made[form]
 
-    met = df.withColumn("__a", check(F.col(column)))
-    return met.select(*(c for c in df.columns if c != column), "__a.answer", "__a.problem")
+    def kind_of(name, kinds):
+        if kinds == (list,):
+            return list[model("attribute")] if name == "attributes" else list[str]
+        return {_STR: str, _NUM: float | None, _OPT_STR: str | None}[kinds]
+
+    lists, _ = PASSES[which]
+    notes = {} if which == "contexts" else {"notes": (str, ...)}
+    return create_model(which.title(), __config__=ConfigDict(extra="forbid", strict=True), **{k: (list[model(form)], ...) for k, form in lists.items()}, **notes)
 
 
 def explode_records(answers: DataFrame, field: str) -> DataFrame:

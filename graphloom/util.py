@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once, write it as a table to the shared folder and read it from there: a lineage cut that survives the loss of executors.
 
     A table rather than a checkpoint, for it is stored in compressed columns and later reads prune them. The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one
-    machine) is a folder of our own set. Tables are removed when the session's JVM ends, or by `release`.
+    machine) is a folder of our own set. Tables are removed at the end of the `scratch` block that they were written in, by `release`, or when
+    the session's JVM ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -30,11 +33,37 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _filesystem(sc, path).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(path))
-    _TABLES.append(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _TABLES: list[str] = []
+_SCRATCH = threading.local()  # a stream's batches run in a thread of their own
+
+
+def _written() -> list[str]:
+    """The list of the innermost scratch block of this thread, else the session's."""
+    blocks = getattr(_SCRATCH, "blocks", None)
+    return blocks[-1] if blocks else _TABLES
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    sc = spark.sparkContext
+    while paths:
+        path = paths.pop()
+        _filesystem(sc, path).delete(sc._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that `cut` writes within the block are removed at its end: results must be written before."""
+    if not hasattr(_SCRATCH, "blocks"):
+        _SCRATCH.blocks = []
+    _SCRATCH.blocks.append([])
+    try:
+        yield
+    finally:
+        _remove(spark, _SCRATCH.blocks.pop())
 
 
 def _filesystem(sc, path: str):
@@ -42,11 +71,8 @@ def _filesystem(sc, path: str):
 
 
 def release(spark: SparkSession) -> None:
-    """Removes every table that `cut` has written so far; results that still rest on them can't be read any more."""
-    sc = spark.sparkContext
-    while _TABLES:
-        path = _TABLES.pop()
-        _filesystem(sc, path).delete(sc._jvm.org.apache.hadoop.fs.Path(path), True)
+    """Removes every table that `cut` has written outside of scratch blocks; results that still rest on them can't be read any more."""
+    _remove(spark, _TABLES)
 
 
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -107,12 +107,15 @@ class Client:
 
     def cast(self, payload):
         data = json.loads(payload)
-        e = [{"id": x["entity_id"], "ontology_type": "thing", "canonical_name": "", "attributes": [], "confidence": None} for x in data["entities"]]
-        r = [{"id": x["relation_id"], "source_id": x["source_id"], "target_id": x["target_id"], "ontology_type": "links", "attributes": [], "confidence": None} for x in data["relations"]]
+        assert list(data) == ["source_text", "free_extraction", "ontology"] and list(data["free_extraction"]) == ["entities", "relations", "notes"]
+        e = [{"id": x["entity_id"], "ontology_type": "thing", "canonical_name": "", "attributes": [], "confidence": None} for x in data["free_extraction"]["entities"]]
+        r = [{"id": x["relation_id"], "source_id": x["source_id"], "target_id": x["target_id"], "ontology_type": "links", "attributes": [], "confidence": None} for x in data["free_extraction"]["relations"]]
         return json.dumps({"entities": e, "relations": r, "notes": ""})
 
     def contexts(self, payload):
-        nodes = [json.loads(n) for n in json.loads(payload)["nodes"]]
+        data = json.loads(payload)
+        assert list(data) == ["source_text", "nodes", "relations", "ontology", "context_config"] and len(data["relations"]) == 1
+        nodes = data["nodes"]
         return json.dumps({"contexts": [{"id": n["id"], "summary": "It is.", "evidence": ["a", "b", "c"], "uncertainty": None} for n in nodes]})
 
 
@@ -126,18 +129,48 @@ def test_a_client_per_document(spark):
         require_answers(res.quarantine)
 
 
+def test_rule_numbers_words_of_long_documents(spark):
+    text = "Pollination matters. " * 30_000 + "orchards flourish " * 60_000
+    e, r = RuleExtractor().extract(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string"))
+    assert {(x["entity_id"], x["ord"]) for x in e.collect()} == {("pollination", 0), ("matters", 1), ("orchards", 60_000), ("flourish", 60_001)}
+    assert r.count() == r.select("ord").distinct().count() == 30_000 + 120_000 - 1 and {x["source_id"] for x in r.where("ord < 3").collect()} == {"pollination"}
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    from graphloom.util import cut, scratch
+
+    with scratch(spark):
+        inner = cut(spark.range(3))
+        path = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert inner.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    kept = cut(spark.range(2))
+    with scratch(spark):
+        pass
+    assert kept.count() == 2
+
+
 def test_requests(spark):
     r = requests(spark.createDataFrame([(1, "one two three")], "doc_id bigint, text string")).first()
     assert json.loads(r["payload"]) == {"source_text": "one two three", "extraction_density": {"entities_per_word": 0.1, "relations_per_entity": 2.0}, "target_counts": {"word_count": 3, "target_entity_count": 1, "target_relation_count": 2}}
 
 
 def test_stream_of_documents(spark, tmp_path):
+    import os
+
+    from graphloom.util import cut
     from graphloom.streaming.batches import each_batch, run_stream, sessions, type_counts, without_copies
 
     src = tmp_path / "in"
     spark.createDataFrame([(1, "Pollination matters. Orchards flourish, orchards flower."), (2, "")], "doc_id bigint, text string").write.parquet(str(src / "a"))
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(src / "*"))
+    spark.range(1).transform(cut)  # sets the folder
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
     run_stream(stream, Pipeline(RuleExtractor(), ONTOLOGY, Settings(context_policy="disabled")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert set(os.listdir(folder)) == before
     assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out" / "runs")).collect()} == {1}
     assert {r["code"] for r in spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()} == {"BLANK_TEXT"}
     each_batch(stream, lambda b: b.select("doc_id"), str(tmp_path / "o2"), str(tmp_path / "cp2")).awaitTermination(120)
@@ -181,24 +214,37 @@ def test_model_client():
     prompt = Prompt.default().render(ONTOLOGY, Density())
     sent = []
 
-    def send(system, user):
-        sent.append((system, user))
+    def send(system, user, which):
+        sent.append((system, user, which))
         return "{}" if "none" not in user else None
 
     c = ModelClient(send, prompt, ONTOLOGY.prompt_schema())
-    assert c.extract('{"source_text": "é"}') == "{}" and sent[-1][0] == prompt.free_extraction_system
-    c.cast(json.dumps({"source_text": "x", "ontology": json.dumps(ONTOLOGY.prompt_schema())}))
-    assert json.loads(sent[-1][1])["ontology"] == ONTOLOGY.prompt_schema() and '", "' in sent[-1][1]
+    assert c.extract('{"source_text":"é","n":0.1}') == "{}" and sent[-1] == (prompt.free_extraction_system, '{"source_text": "é", "n": 0.1}', "extraction")
+    c.cast(json.dumps({"source_text": "x", "ontology": ONTOLOGY.prompt_schema()}))
+    assert json.loads(sent[-1][1])["ontology"] == ONTOLOGY.prompt_schema() and sent[-1][2] == "casting"
     with pytest.raises(ValueError):
         c.cast(json.dumps({"ontology": {}}))
-    c.contexts(json.dumps({"nodes": ['{"id": "é"}']}))
+    c.contexts(json.dumps({"nodes": [{"id": "é"}]}))
     assert '"id": "é"' in sent[-1][1]
     with pytest.raises(ResponseError):
-        c.extract("none")
+        c.extract('"none"')
     with pytest.raises(ValueError):
         ModelClient(send, Prompt.default(), {})
-    fake = SimpleNamespace(responses=SimpleNamespace(create=lambda model, input: SimpleNamespace(output_text=f"{model} {len(input)}")))
-    assert responses_sender("m", fake)("a", "b") == "m 2"
+    pytest.importorskip("pydantic")
+    said = {"entities": [ENTITY], "relations": [RELATION | {"confidence": 1.0}], "notes": ""}
+    asked = {}
+
+    def ask(**given):
+        asked.update(given)
+        return SimpleNamespace(output_parsed=given["text_format"].model_validate(said) if given["model"] == "m" else None)
+
+    fake = SimpleNamespace(responses=SimpleNamespace(parse=ask))
+    assert read_answer(responses_sender("m", fake)("a", "b", "extraction"), "extraction")[0]["notes"] == ""
+    assert [x["role"] for x in asked["input"]] == ["system", "user"] and responses_sender("n", fake)("a", "b", "extraction") is None
+    form = asked["text_format"]
+    for bad in (said | {"more": 1}, {k: v for k, v in said.items() if k != "notes"}, said | {"entities": [ENTITY | {"id": 5}]}):
+        with pytest.raises(ValueError):
+            form.model_validate(bad)
     try:
         import openai  # noqa: F401
     except ImportError:
