@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.util import cut, small
 
 
 def dot_product(a: Column, b: Column) -> Column:
@@ -34,31 +38,49 @@ def motif_vectors(features: DataFrame, motifs: list[str]) -> DataFrame:
     """
     if len(motifs) > 1_000:
         raise ValueError("over 1,000 motifs")
-    counts = features.groupBy("doc_id").agg(*(F.sum(F.when(F.col("motif") == m, F.col("n")).otherwise(0)).cast("double").alias(f"m{i}") for i, m in enumerate(motifs)))
-    raw = F.array(*(F.col(f"m{i}") for i in range(len(motifs))))
-    norm = F.sqrt(dot_product(raw, raw))
-    return counts.select("doc_id", F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw).alias("vector"))
+    places = features.sparkSession.createDataFrame([(m, i) for i, m in enumerate(motifs)], "motif string, i int")
+    met = features.join(F.broadcast(places), "motif", "left").groupBy("doc_id", "i").agg(F.sum("n").cast("double").alias("n"))
+    held = met.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n")))).alias("m"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(len(motifs) - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))) if motifs else F.array().cast("array<double>")
+    norm = F.sqrt(dot_product(F.col("raw"), F.col("raw")))
+    return held.select("doc_id", raw.alias("raw")).select("doc_id", F.when(norm > 0, F.transform("raw", lambda x: x / norm)).otherwise(F.col("raw")).alias("vector"))
 
 
 def recognise(vectors: DataFrame, column: str, centroids: DataFrame, least: float = -1.0) -> DataFrame:
     """`vectors` with the concept of the closest centroid by cosine and the similarity; null under `least` or for a null vector.
 
-    The centroids are few (a model's k) and checked; they become one array beside every vector.
+    The centroids are few (a model's k) and checked; they go to the tasks as one matrix, and vectors meet it in Arrow batches. Of equally
+    close centroids the least concept counts. Vectors of another length, or with a null in them, are null ones.
     """
-    known = centroids.limit(1_001).collect()
+    known = sorted(centroids.limit(1_001).collect(), key=lambda r: r["concept_id"])
     if len(known) > 1_000:
         raise ValueError("over 1,000 concepts")
-    tests = [F.struct(cosine(F.col(column), F.array(*map(F.lit, r["centroid"]))).alias("similarity"), F.lit(-r["concept_id"]).alias("minus")) for r in known]
-    best = vectors.withColumn("__b", F.array_max(F.filter(F.array(*tests), lambda x: x["similarity"].isNotNull())))
-    ok = F.col("__b.similarity") >= least
-    return best.select(*vectors.columns, F.when(ok, -F.col("__b.minus")).alias("concept_id"), F.when(ok, F.col("__b.similarity")).alias("similarity"))
+    matrix = np.array([r["centroid"] for r in known], float).reshape(len(known), -1)
+    length = np.linalg.norm(matrix, axis=1)
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["concept_id"] for r in known]), matrix / np.where(length > 0, length, np.nan)[:, None]))
+    at, names = vectors.columns.index(column), [*vectors.columns, "concept_id", "similarity"]
+
+    def run(batches):
+        concepts, centres = shared.value
+        for b in batches:
+            ids, near = [], []
+            for v in b.column(at).to_pylist():
+                x = np.array(v, float) if v is not None and len(v) == centres.shape[1] and None not in v else np.zeros(centres.shape[1])
+                cos = centres @ (x / n) if (n := np.linalg.norm(x)) > 0 else np.full(len(centres), np.nan)
+                best = int(np.nanargmax(cos)) if not np.isnan(cos).all() else -1
+                ok = best >= 0 and cos[best] >= least
+                ids.append(int(concepts[best]) if ok else None)
+                near.append(float(cos[best]) if ok else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int32()), pa.array(near, pa.float64())], names=names)
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("concept_id", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
 
 
 def lift(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, lineage) of the next level.
 
     concepts(doc_id, entity_id, concept_id): nodes of one concept and document become one node '<level>:<concept>'; nodes without a concept stay out.
-    Edges join the concepts of their ends, one per pair and type with the number of base edges; edges within a concept are its own and vanish.
+    Edges join the concepts of their ends, one per pair and type with the number of base edges (the sum of `n_base`, where the edges have it); edges within a concept are its own and vanish.
     lineage(level, doc_id, concept_id, base_entity_id) leads every new node back to the nodes below it.
     """
     name = F.concat(F.lit(f"{level}:"), F.col("concept_id").cast("string"))
@@ -66,10 +88,37 @@ def lift(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, level: int) ->
     of = of.join(nodes.select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_semi")
     above = of.groupBy("doc_id", F.col("concept").alias("entity_id")).agg(F.count(F.lit(1)).alias("n_base"))
     ends = edges.join(of.withColumnsRenamed({"entity_id": "source_id", "concept": "s"}), ["doc_id", "source_id"]).join(of.withColumnsRenamed({"entity_id": "target_id", "concept": "t"}), ["doc_id", "target_id"])
-    joined = ends.where("s <> t").groupBy("doc_id", F.col("s").alias("source_id"), F.col("t").alias("target_id"), "type").agg(F.count(F.lit(1)).alias("n_base"))
+    joined = ends.where("s <> t").groupBy("doc_id", F.col("s").alias("source_id"), F.col("t").alias("target_id"), "type").agg((F.sum("n_base") if "n_base" in edges.columns else F.count(F.lit(1))).alias("n_base"))
     return above, joined, of.select(F.lit(level).alias("level"), "doc_id", F.col("concept").alias("concept_id"), F.col("entity_id").alias("base_entity_id"))
 
 
+def levels(nodes: DataFrame, edges: DataFrame, concepts: DataFrame, above: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, lineage) of all levels of interpretation, each with its number in `level`, the base graph being level 0.
+
+    concepts(doc_id, entity_id, concept_id) names the concept of base nodes; above(concept_id, parent) the concept over each concept. A concept
+    without one stays as it is on higher levels. Levels are lifted from one another until no concept has another one above it, at most one level
+    per concept in `above`; a cycle therefore raises RuntimeError. lineage leads every node to those one level below.
+    """
+    up = small(above.where("concept_id is not null and parent is not null and concept_id <> parent").select(F.col("concept_id").alias("was"), "parent").dropDuplicates(["was"]))
+    most = up.count() + 1
+    columns = ["level", "doc_id", "entity_id"]
+    every_node = nodes.select(F.lit(0).alias("level"), "doc_id", "entity_id")
+    every_edge = edges.select(F.lit(0).alias("level"), "doc_id", "source_id", "target_id", "type", F.lit(1).cast("long").alias("n_base"))
+    every_line = None
+    at, of = (nodes, edges), concepts
+    for level in range(1, most + 1):
+        n, e, line = lift(*at, of, level)
+        n, e, line = cut(n), cut(e), cut(line)
+        every_node = every_node.unionByName(n.select(F.lit(level).alias("level"), "doc_id", "entity_id"))
+        every_edge = every_edge.unionByName(e.select(F.lit(level).alias("level"), "doc_id", "source_id", "target_id", "type", "n_base"))
+        every_line = line if every_line is None else every_line.unionByName(line)
+        here = n.select("doc_id", "entity_id", F.substring("entity_id", len(f"{level}:") + 1, 1 << 30).alias("was")).join(up, "was", "left")
+        if here.where("parent is not null").isEmpty():
+            return every_node.select(*columns), every_edge, every_line
+        at, of = (n, e), here.select("doc_id", "entity_id", F.coalesce("parent", "was").alias("concept_id"))
+    raise RuntimeError("concepts lie above each other in a circle")
+
+
 def split_by_time(labels: DataFrame, times: DataFrame, at: str) -> DataFrame:
     """labels with `part`: 'before' or 'after' the moment `at`, by times(doc_id, time); documents without a time are left out."""
     met = labels.join(times.where("time is not null").groupBy("doc_id").agg(F.min("time").alias("time")), "doc_id")

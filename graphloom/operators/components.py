@@ -109,7 +109,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, task_rows: int = TASK_RO
     """
     ends = edges.where("source_id is not null and target_id is not null").select("doc_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     rows = nodes.where("entity_id is not null").select("doc_id", F.col("entity_id").alias("a"), F.lit(None).cast("string").alias("b")).distinct().unionByName(ends)
-    rows = rows.where("doc_id is not null")
+    rows = cut(rows.where("doc_id is not null"))  # read for the count and for the fold
     kind = nodes.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, entity_id string, component_id string"
     large = rows.groupBy("doc_id").count().where(F.col("count") > task_rows).select("doc_id")

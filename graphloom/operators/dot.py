@@ -43,10 +43,11 @@ def dot_lines(nodes: DataFrame, edges: DataFrame, name: str = DEFAULT_NAME, edge
 
 
 def dot_texts(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
-    """(doc_id, dot): one text per document, with a final line feed. Documents over `max_lines` are left to write_dot_lines."""
-    few = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_lines).select("doc_id")
+    """(doc_id, n_lines, dot): one text per document, with a final line feed. Where a document has over `max_lines` dot is null: write_dot_lines writes it."""
+    sizes = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    few = sizes.where(F.col("n_lines") <= max_lines).select("doc_id")
     whole = lines.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "k1", "k2", "k3", "line"))).alias("x"))
-    return whole.select("doc_id", F.concat(F.array_join("x.line", "\n"), F.lit("\n")).alias("dot"))
+    return sizes.join(whole, "doc_id", "left").select("doc_id", "n_lines", F.concat(F.array_join("x.line", "\n"), F.lit("\n")).alias("dot"))
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def motif_features(wedges: DataFrame) -> DataFrame:
     return wedges.select("doc_id", F.concat("first_type", F.lit(">"), "second_type").alias("motif"), "n")
 
 
-def select_features(features: DataFrame, labels: DataFrame, top: int = 50) -> DataFrame:
-    """(motif, chi2): the motifs whose presence depends most on labels(doc_id, label), by chi-square over the documents with a label; ties by name."""
+def select_features(features: DataFrame, labels: DataFrame, top: int | None = 50) -> DataFrame:
+    """(motif, chi2): the motifs whose presence depends most on labels(doc_id, label), by chi-square over the documents with a label; ties by name. Without `top`, all of them."""
     n_docs = labels.where("label is not null").select("doc_id", "label").distinct()
     per_label = n_docs.groupBy("label").agg(F.count(F.lit(1)).alias("l"))
     total = n_docs.count()
@@ -74,7 +74,8 @@ def select_features(features: DataFrame, labels: DataFrame, top: int = 50) -> Da
     e1 = F.col("m") * F.col("l") / total
     e0 = (total - F.col("m")) * F.col("l") / total
     part = F.when(e1 > 0, (F.col("o") - e1) ** 2 / e1).otherwise(0) + F.when(e0 > 0, (F.col("o") - e1) ** 2 / e0).otherwise(0)
-    return cells.groupBy("motif").agg(F.sum(part).alias("chi2")).orderBy(F.desc("chi2"), "motif").limit(top)
+    out = cells.groupBy("motif").agg(F.sum(part).alias("chi2"))
+    return out if top is None else out.orderBy(F.desc("chi2"), "motif").limit(top)
 
 
 def edge_importance(edges: DataFrame, scores: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.config import ContextSettings
+from graphloom.config import ContextSettings, Density, Limits
+from graphloom.extract import requests
 from graphloom.functions import text as X
 from graphloom.ontology import closure, domain_range_audit, inverse_edges, unknown_types
 from graphloom.operators import context, dot, graph, motifs, normalize, report, validate
 from graphloom.operators.components import star_components, weak_components
 from graphloom.plans.graph_sql import SQL  # noqa: F401
+from graphloom.sources import wire
+from graphloom.streaming.counts import drained, type_counts
 from graphloom.util import cut, read
 
 ENTITY = ("doc_id", "ord", "entity_id", "mention_text", "free_type", "description", "evidence", "confidence")
@@ -60,6 +63,12 @@ class Tables:
         """(doc_id, ord, entity_id) of every entity, once per id."""
         return self._plain("entities", ("doc_id", "ord", "entity_id")).groupBy("doc_id", "entity_id").agg(F.max("ord").alias("ord")).select("doc_id", "ord", "entity_id")
 
+    def keyed(self, name: str) -> DataFrame:
+        """The columns of a table that its checks ask for: position, keys, ends and type."""
+        known = ("doc_id", "ord", "entity_id", "relation_id", "source_id", "target_id", "ontology_type")
+        rows = read(self.spark, self.dir, name)
+        return rows.select(*(c for c in known if c in rows.columns)).distinct()
+
     @property
     def links(self):
         """Relations with both ends among the entities."""
@@ -90,7 +99,7 @@ def sentence_count(spark, d):
 
 def extraction_issues(spark, d):
     t = Tables(spark, d)
-    return validate.extraction_issues(t.entities, t.relations).select("doc_id", "code", "subject", "detail")
+    return validate.extraction_issues(t.keyed("entities"), t.keyed("relations")).select("doc_id", "code", "subject", "detail")
 
 
 def graph_nodes(spark, d):
@@ -135,7 +144,7 @@ def validation_report(spark, d):
 
 
 def report_texts(spark, d):
-    """The messages of the report; three decimals of a double have no SQL twin, so they are compared in the tests."""
+    """The messages of the report, with densities to three decimals of their exact binary value."""
     t = Tables(spark, d)
     return report.validation_report(t.ids, t.links, docs=t.texts().select("doc_id")).select("doc_id", F.array_join("issues", "; ").alias("issues"))
 
@@ -163,13 +172,14 @@ def retention(spark, d):
 
 def casting_issues(spark, d):
     t = Tables(spark, d)
-    found = validate.casting_issues(t.entities, t.relations, t.cast_entities, t.cast_relations, t.kinds, t.ties)
+    found = validate.casting_issues(*(t.keyed(n) for n in ("entities", "relations", "cast_entities", "cast_relations")), t.kinds, t.ties)
     return found.select("doc_id", "code", "subject", "detail")
 
 
 def unknown_cast_types(spark, d):
     t = Tables(spark, d)
-    parts = [unknown_types(c, k).select("doc_id", F.lit(n).alias("kind"), F.array_join("unknown", "|").alias("unknown")) for n, c, k in (("entity", t.cast_entities, t.kinds), ("relation", t.cast_relations, t.ties))]
+    pairs = (("entity", t.keyed("cast_entities"), t.kinds), ("relation", t.keyed("cast_relations"), t.ties))
+    parts = [unknown_types(c, k).select("doc_id", F.lit(n).alias("kind"), F.array_join("unknown", "|").alias("unknown")) for n, c, k in pairs]
     return parts[0].unionByName(parts[1])
 
 
@@ -214,10 +224,57 @@ def dot_lines(spark, d):
     return dot.dot_lines(*Tables(spark, d).typed())
 
 
-def run_metadata(spark, d):
-    """Model and source hash of every text that isn't blank, without running the pipeline; its own runs are in pipeline_run_metadata."""
-    t = Tables(spark, d).texts().where(~X.is_blank(F.col("source_text")))
-    return t.select("doc_id", F.lit("gpt-4o-mini").alias("model"), X.sha256(F.col("source_text")).alias("source_sha256"))
+def dot_undirected(spark, d):
+    """The lines of every graph as an undirected one without edge labels."""
+    return dot.dot_lines(*Tables(spark, d).typed(), name='Graph "1"', edge_labels=False, directed=False)
+
+
+def strict_limits(spark, d):
+    """Reports under other limits: density 0.05, a tenth of the nodes as degree, and two hubs allowed."""
+    t = Tables(spark, d)
+    out = report.validation_report(t.ids, t.links, Limits(0.05, 0.1, 2), t.texts().select("doc_id"), texts=False)
+    return out.select("doc_id", "valid", "density_ok", "hubs_ok", "hub_count")
+
+
+def preserved(spark, d):
+    """What the policy 'preserve' keeps: everything, with the number of components."""
+    t = Tables(spark, d)
+    relations = t._plain("relations", ("doc_id", "ord", "relation_id", "source_id", "target_id"))
+    parts = cut(weak_components(t.ids, t.links))
+    out = normalize.normalize(t.ids, relations, parts, "preserve", t.texts().select("doc_id")).report
+    return out.select("doc_id", "policy", "component_count", "retained_entities", "retained_relations", "note")
+
+
+def issue_texts(spark, d):
+    """The messages of the extraction and casting checks."""
+    t = Tables(spark, d)
+    e, r, ce, cr = (t.keyed(n) for n in ("entities", "relations", "cast_entities", "cast_relations"))
+    found = validate.extraction_issues(e, r).unionByName(validate.casting_issues(e, r, ce, cr, t.kinds, t.ties))
+    return validate.texts(found).where(F.col("code").isin("DUP_ENTITY", "DUP_RELATION", "UNKNOWN_ENDPOINT", "ENDPOINT_CHANGED", "NO_TYPE")).select("doc_id", "code", "text")
+
+
+def request_payloads(spark, d):
+    """The payload of the first pass of every request: its counts, the densities and the text's length as read back from the JSON."""
+    made = requests(Tables(spark, d).texts().select("doc_id", F.col("source_text").alias("text")).where("text is not null"), Density())
+    got = F.from_json("payload", "source_text string, extraction_density struct<entities_per_word double, relations_per_entity double>, target_counts struct<word_count int, target_entity_count int, target_relation_count int>").alias("p")
+    return made.select("doc_id", got).select("doc_id", X.sha256(F.col("p.source_text")).alias("source_sha256"), "p.extraction_density.*", "p.target_counts.*")
+
+
+def answers(spark, d):
+    """Records of the entities table written as an extractor's answer per record, and read back strictly: those with a null or number in a text field are refused."""
+    rows = Tables(spark, d).entities.where("entity_id is not null")
+    body = F.struct(F.col("entity_id").alias("id"), "mention_text", "free_type", "description", "evidence", "confidence")
+    said = F.to_json(F.struct(F.array(body).alias("entities"), F.array().cast("array<string>").alias("relations"), F.lit("").alias("notes")), {"ignoreNullFields": "false"})
+    got = wire.parse(rows.select("doc_id", "entity_id", said.alias("said")), "said", "extraction")
+    first = F.col("answer.entities")[0]
+    return got.select("doc_id", "entity_id", F.col("problem").isNull().alias("accepted"), first["mention_text"].alias("mention_text"), first["evidence"].alias("evidence"), first["confidence"].alias("confidence"))
+
+
+def event_days(spark, d):
+    """Events per day and type as a stream counts them: the table is read as a stream with a watermark, and its windows are written by batches."""
+    rows = read(spark, d, "events").select("ts", "event_type")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drained(type_counts(stream, "ts", "event_type")).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "type", "n")
 
 
 def ontology_closure(spark, d):
@@ -295,7 +352,8 @@ QUERIES = {
     "weak_components": weak_components_query, "component_sizes": component_sizes, "validation_report": validation_report, "report_texts": report_texts,
     "largest_component": largest_component, "normalization_report": normalization_report, "retention": retention, "casting_issues": casting_issues,
     "unknown_cast_types": unknown_cast_types, "label_completeness": label_completeness, "relation_rows": relation_rows, "node_adjacency": node_adjacency,
-    "node_requests": node_requests, "context_issues": context_issues, "trimmed_contexts": trimmed_contexts, "dot_lines": dot_lines, "run_metadata": run_metadata,
+    "node_requests": node_requests, "context_issues": context_issues, "trimmed_contexts": trimmed_contexts, "dot_lines": dot_lines,
+    "dot_undirected": dot_undirected, "strict_limits": strict_limits, "preserved": preserved, "issue_texts": issue_texts, "request_payloads": request_payloads, "answers": answers, "event_days": event_days,
     "ontology_closure": ontology_closure, "domain_range": domain_range, "inverse_edges": inverses, "motif_counts": motif_counts, "triangle_counts": triangle_counts,
     "star_report": star_report, "star_whole": star_whole, "event_report": event_report,
 }

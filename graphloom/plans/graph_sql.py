@@ -207,7 +207,46 @@ UNION ALL SELECT DISTINCT doc_id, 1, '', '', '', '  rankdir=LR;' FROM ids UNION
 UNION ALL SELECT doc_id, 2, entity_id, '', '', '  ' || {_q("entity_id")} || ' [label=' || {_q(_LABEL)} || ', shape=box];' FROM nodes
 UNION ALL SELECT doc_id, 3, source_id, target_id, lab, '  ' || {_q("source_id")} || ' -> ' || {_q("target_id")} || ' [color="#555555"' || CASE WHEN lab <> '' THEN ', label=' || {_q("lab")} ELSE '' END || '];'
 FROM (SELECT *, coalesce(nullif(ontology_type, ''), free_type, '') AS lab FROM edges)""",
-    "run_metadata": _cut(_BASE) + f"SELECT doc_id, 'gpt-4o-mini' AS model, sha256(source_text) AS source_sha256 FROM t WHERE NOT {_blank('source_text')}",
+    "dot_undirected": _cut(_BASE) + f"""
+SELECT DISTINCT doc_id, 0 AS section, '' AS k1, '' AS k2, '' AS k3, 'graph "Graph \\"1\\"" {{' AS line FROM ids
+UNION ALL SELECT DISTINCT doc_id, 1, '', '', '', '  rankdir=LR;' FROM ids UNION ALL SELECT DISTINCT doc_id, 4, '', '', '', '}}' FROM ids
+UNION ALL SELECT doc_id, 2, entity_id, '', '', '  ' || {_q("entity_id")} || ' [label=' || {_q(_LABEL)} || ', shape=box];' FROM nodes
+UNION ALL SELECT doc_id, 3, source_id, target_id, coalesce(nullif(ontology_type, ''), free_type, ''), '  ' || {_q("source_id")} || ' -- ' || {_q("target_id")} || ' [color="#555555"];' FROM edges""",
+    "strict_limits": _BASE + _SIZES.format(docs="(SELECT DISTINCT doc_id FROM t)") + """
+hubs AS (SELECT d.doc_id, count(*) AS n FROM degree d JOIN sizes USING (doc_id) WHERE node_count > 1 AND degree > greatest(2, trunc(0.1e0 * (node_count - 1))) GROUP BY ALL),
+comp AS (SELECT doc_id, x AS entity_id, min(y) AS component FROM (
+  WITH RECURSIVE w AS (SELECT doc_id, a AS x, b AS y FROM simple UNION SELECT doc_id, b, a FROM simple),
+  reach AS (SELECT doc_id, entity_id AS x, entity_id AS y FROM ids UNION SELECT reach.doc_id, reach.x, w.y FROM reach JOIN w ON w.doc_id = reach.doc_id AND w.x = reach.y) SELECT * FROM reach) GROUP BY ALL),
+checks AS (
+  SELECT doc_id, CASE WHEN node_count <= 1 THEN edge_count = 0 ELSE density <= 0.05e0 END AS density_ok, coalesce(hubs.n, 0) <= 2 AS hubs_ok, coalesce(hubs.n, 0)::BIGINT AS hub_count,
+    coalesce((SELECT count(DISTINCT component) FROM comp WHERE comp.doc_id = sizes.doc_id), 0) = 1 AS connected FROM sizes LEFT JOIN hubs USING (doc_id))
+SELECT doc_id, connected AND density_ok AND hubs_ok AS valid, density_ok, hubs_ok, hub_count FROM checks""",
+    "preserved": _BASE + _cut(_REACH) + """
+SELECT doc_id, 'preserve' AS policy, coalesce(component_count, 0)::BIGINT AS component_count, (SELECT count(*) FROM ids WHERE ids.doc_id = d.doc_id) AS retained_entities,
+  (SELECT count(*) FROM (SELECT DISTINCT doc_id, ord, relation_id, source_id, target_id FROM r) x WHERE x.doc_id = d.doc_id) AS retained_relations, CAST(NULL AS VARCHAR) AS note
+FROM (SELECT doc_id FROM t UNION SELECT doc_id FROM ids UNION SELECT doc_id FROM r) d LEFT JOIN top USING (doc_id)""",
+    "issue_texts": _cut(_BASE) + """
+SELECT doc_id, 'DUP_ENTITY' AS code, 'duplicate entity ids: ' || string_agg(entity_id, ', ' ORDER BY entity_id) AS text FROM (SELECT doc_id, entity_id FROM e WHERE entity_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'DUP_RELATION', 'duplicate relation ids: ' || string_agg(relation_id, ', ' ORDER BY relation_id) FROM (SELECT doc_id, relation_id FROM r WHERE relation_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'UNKNOWN_ENDPOINT', 'relation ''' || relation_id || ''' references unknown endpoint(s): ' || string_agg(DISTINCT coalesce(x, ''), ', ' ORDER BY coalesce(x, ''))
+FROM (SELECT doc_id, ord, relation_id, source_id AS x FROM r UNION ALL SELECT doc_id, ord, relation_id, target_id FROM r) y
+WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.doc_id = y.doc_id AND ids.entity_id = y.x) GROUP BY doc_id, ord, relation_id
+UNION ALL SELECT cr.doc_id, 'ENDPOINT_CHANGED', 'relation ''' || cr.relation_id || ''' changed endpoints during casting' FROM cr JOIN r USING (doc_id, relation_id)
+WHERE cr.source_id IS DISTINCT FROM r.source_id OR cr.target_id IS DISTINCT FROM r.target_id
+UNION ALL SELECT doc_id, 'NO_TYPE', 'entity ''' || coalesce(entity_id, '') || ''' has no ontology type' FROM ce WHERE ontology_type IS NULL
+UNION ALL SELECT doc_id, 'NO_TYPE', 'relation ''' || coalesce(relation_id, '') || ''' has no ontology type' FROM cr WHERE ontology_type IS NULL""",
+    "request_payloads": f"""
+SELECT doc_id, sha256(source_text) AS source_sha256, 0.1e0 AS entities_per_word, 2e0 AS relations_per_entity, w AS word_count, te AS target_entity_count, te * 2 AS target_relation_count
+FROM (SELECT *, CASE WHEN w > 0 THEN greatest(1, CAST(round_even(w * 0.1e0, 0) AS INT)) ELSE 0 END AS te
+  FROM (SELECT DISTINCT doc_id, source_text, CAST(len(list_filter(regexp_split_to_array(source_text, '{_WS}+'), lambda x: x <> '')) AS INT) AS w FROM extraction_requests WHERE source_text IS NOT NULL))""",
+    "answers": _cut(_BASE) + """
+SELECT doc_id, entity_id, ok AS accepted, CASE WHEN ok THEN mention_text END AS mention_text, CASE WHEN ok THEN evidence END AS evidence, CASE WHEN ok THEN confidence END AS confidence
+FROM (SELECT *, mention_text IS NOT NULL AND free_type IS NOT NULL AND description IS NOT NULL AND evidence IS NOT NULL AS ok FROM e WHERE entity_id IS NOT NULL)""",
+    "event_days": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "report_texts": _BASE + _REACH + _SIZES.format(docs="(SELECT DISTINCT doc_id FROM t)") + _REPORT + """
+SELECT doc_id, concat_ws('; ', CASE WHEN node_count = 0 THEN 'graph has no entities' WHEN NOT connected THEN 'graph is disconnected' END,
+  CASE WHEN NOT density_ok THEN 'graph density ' || printf('%.3f', density) || ' exceeds 0.400' END,
+  CASE WHEN NOT hubs_ok THEN 'graph contains ' || hub_count || ' hub node(s): ' || replace(hub_nodes, ',', ', ') END) AS issues FROM report""",
     "ontology_closure": """
 WITH RECURSIVE up AS (
   SELECT id, id AS ancestor, 0 AS depth FROM ontology_entity_types

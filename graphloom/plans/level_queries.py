@@ -37,6 +37,11 @@ def pipeline_run_metadata(spark, d):
     return _run(spark, d).runs
 
 
+def run_metadata(spark, d):
+    """The pipeline's table of runs without the prompt's hash."""
+    return _run(spark, d).runs.select("doc_id", "model", "source_sha256")
+
+
 def pipeline_rule(spark, d):
     """The pipeline with the rule extractor over the documents: final reports."""
     docs = read(spark, d, "documents").select("doc_id", "text")
@@ -51,7 +56,7 @@ def _labels(t):
 
 def motif_selection(spark, d):
     t = Tables(spark, d)
-    found = motifs.select_features(motifs.motif_features(motifs.typed_wedges(_typed_edges(t))), _labels(t), 1_000_000)
+    found = motifs.select_features(motifs.motif_features(motifs.typed_wedges(_typed_edges(t))), _labels(t), None)
     return found.select("motif", F.round("chi2", 6).alias("chi2"))
 
 
@@ -82,6 +87,23 @@ def concept_lineage(spark, d):
     return abstraction.lift(t.ids, _typed_edges(t), of, 1)[2]
 
 
+def concept_levels(spark, d):
+    """Edges of every level of interpretation: entities, their ontology types, the parents of these, and so on to the roots."""
+    t = Tables(spark, d)
+    of = t.cast_entities.where("ontology_type is not null and entity_id is not null").groupBy("doc_id", "entity_id").agg(F.max_by("ontology_type", "ord").alias("concept_id"))
+    kinds = t.kinds.select(F.col("id").alias("concept_id"), "parent")
+    edges = abstraction.levels(t.ids, _typed_edges(t), of, kinds.join(kinds.select(F.col("concept_id").alias("parent")), "parent", "left_semi"))[1]
+    return edges.groupBy("level", "doc_id", "source_id", "target_id", "type").agg(F.sum("n_base").alias("n_below"))
+
+
+def recognised_labels(spark, d):
+    """Every embedding with the label whose mean is closest by cosine, labels numbered in order."""
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    parts = rows.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(F.col("label").cast("int").alias("concept_id"), F.col("c.m").alias("centroid"))
+    return abstraction.recognise(rows.select("vec_id", "embedding"), "embedding", mean).select("vec_id", "concept_id", F.round("similarity", 6).alias("similarity"))
+
+
 def embedding_concepts(spark, d):
     """Embeddings clustered, and every one assigned to its closest centroid."""
     rows = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
@@ -120,8 +142,7 @@ _CONCEPTS = """
 of AS (SELECT doc_id, entity_id, '1:' || arg_max(ontology_type, ord) AS concept FROM ce WHERE ontology_type IS NOT NULL AND entity_id IS NOT NULL GROUP BY ALL)
 """
 
-SQL = {
-    "pipeline_quarantine": _BASE + _REACH + _cut(_FATE) + f"""
+_STAGES = _BASE + _REACH + _cut(_FATE) + f"""
 , blank AS (SELECT doc_id FROM t WHERE {_blank("source_text")}),
 bad1 AS (
   SELECT DISTINCT doc_id FROM (SELECT doc_id FROM e GROUP BY doc_id, entity_id HAVING count(*) > 1 UNION SELECT doc_id FROM r GROUP BY doc_id, relation_id HAVING count(*) > 1
@@ -135,7 +156,34 @@ bad2 AS (
   UNION SELECT doc_id FROM kce GROUP BY doc_id, entity_id HAVING count(*) > 1 UNION SELECT doc_id FROM kcr GROUP BY doc_id, relation_id HAVING count(*) > 1
   UNION SELECT doc_id FROM kce WHERE ontology_type IS NULL OR ontology_type NOT IN (SELECT id FROM ontology_entity_types)
   UNION SELECT doc_id FROM kcr WHERE ontology_type IS NULL OR ontology_type NOT IN (SELECT id FROM ontology_relation_types)
-  UNION SELECT kcr.doc_id FROM kcr JOIN r USING (doc_id, relation_id) WHERE kcr.source_id IS DISTINCT FROM r.source_id OR kcr.target_id IS DISTINCT FROM r.target_id)
+  UNION SELECT kcr.doc_id FROM kcr JOIN r USING (doc_id, relation_id) WHERE kcr.source_id IS DISTINCT FROM r.source_id OR kcr.target_id IS DISTINCT FROM r.target_id),
+through AS (SELECT t.doc_id, sha256(source_text) AS source_sha256 FROM t JOIN live USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM bad2))
+"""
+
+SQL = {
+    "pipeline_runs": _STAGES + """
+SELECT doc_id, source_sha256, (SELECT count(*) FROM ke WHERE ke.doc_id = through.doc_id) AS node_count, (SELECT count(*) FROM kr WHERE kr.doc_id = through.doc_id) AS edge_count,
+  EXISTS (SELECT 1 FROM ke WHERE ke.doc_id = through.doc_id) AS connected FROM through""",
+    "run_metadata": _STAGES + "SELECT doc_id, 'gpt-4o-mini' AS model, source_sha256 FROM through",
+    "concept_levels": _BASE + """
+own AS (SELECT doc_id, entity_id, arg_max(ontology_type, ord) AS concept FROM ce WHERE ontology_type IS NOT NULL AND entity_id IS NOT NULL GROUP BY ALL),
+up AS (
+  SELECT id AS base, id AS concept, 1 AS level FROM (SELECT DISTINCT concept AS id FROM own)
+  UNION ALL SELECT base, coalesce(k.parent, up.concept), level + 1 FROM up LEFT JOIN ontology_entity_types k ON k.id = up.concept AND k.parent IN (SELECT id FROM ontology_entity_types)
+  WHERE level < 1 + (SELECT max(depth) FROM (
+    WITH RECURSIVE d AS (SELECT DISTINCT concept AS id, 0 AS depth FROM own UNION ALL SELECT k.parent, depth + 1 FROM d JOIN ontology_entity_types k ON k.id = d.id WHERE k.parent IN (SELECT id FROM ontology_entity_types)) SELECT * FROM d))),
+named AS (SELECT own.doc_id, own.entity_id, level, level || ':' || up.concept AS concept FROM own JOIN up ON up.base = own.concept),
+lines AS (
+  SELECT 0 AS level, doc_id, source_id, target_id, ontology_type AS type FROM edges
+  UNION ALL SELECT s.level, x.doc_id, s.concept, g.concept, x.ontology_type FROM edges x JOIN named s ON s.doc_id = x.doc_id AND s.entity_id = x.source_id JOIN named g ON g.doc_id = x.doc_id AND g.entity_id = x.target_id AND g.level = s.level
+  WHERE s.concept <> g.concept)
+SELECT level, doc_id, source_id, target_id, type, count(*) AS n_below FROM lines GROUP BY ALL""",
+    "recognised_labels": """
+WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i, label FROM embeddings),
+c AS (SELECT label, i, avg(x) AS m FROM p GROUP BY ALL),
+s AS (SELECT vec_id, c.label, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS cos FROM p JOIN c USING (i) GROUP BY ALL)
+SELECT vec_id, CAST(label AS INT) AS concept_id, round(cos, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, label) = 1""",
+    "pipeline_quarantine": _STAGES + """
 SELECT doc_id, 'input' AS stage FROM blank UNION ALL SELECT doc_id, 'extraction' FROM bad1 UNION ALL SELECT doc_id, 'casting' FROM bad2""",
     "motif_selection": _BASE + _LABELS + _cut(_WEDGES) + """
 , pos AS (SELECT DISTINCT w.doc_id, motif, label FROM wedges w JOIN labels USING (doc_id)),
@@ -167,7 +215,7 @@ SELECT DISTINCT 'documents' AS table_name, doc_id FROM documents WHERE {_blank("
 }
 
 QUERIES = {
-    "pipeline_quarantine": pipeline_quarantine, "pipeline_runs": pipeline_runs, "pipeline_run_metadata": pipeline_run_metadata, "pipeline_rule": pipeline_rule, "motif_selection": motif_selection, "edge_importance": edge_importance,
+    "pipeline_quarantine": pipeline_quarantine, "pipeline_runs": pipeline_runs, "pipeline_run_metadata": pipeline_run_metadata, "run_metadata": run_metadata, "concept_levels": concept_levels, "recognised_labels": recognised_labels, "pipeline_rule": pipeline_rule, "motif_selection": motif_selection, "edge_importance": edge_importance,
     "neighbourhoods": neighbourhoods, "concept_graph": concept_graph, "concept_lineage": concept_lineage, "embedding_concepts": embedding_concepts,
     "label_centroids": label_centroids, "time_split": time_split, "blank_texts": blank_texts,
 }

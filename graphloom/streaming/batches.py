@@ -1,11 +1,10 @@
-"""Streams of documents and records: the batch operators on micro-batches, and event-time counts with late data."""
+"""Streams of documents: the batch operators on micro-batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.plans.pipeline import Pipeline
 from graphloom.util import scratch
@@ -37,19 +36,3 @@ def each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], pa
             operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def type_counts(stream: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
-    """(window, type, n): records per event-time window and type; records later than `late` are dropped once their window is closed."""
-    frame = F.window(time, width, slide) if slide else F.window(time, width)
-    return stream.withWatermark(time, late).groupBy(frame.alias("window"), F.col(kind).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def sessions(stream: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """(key, window, n): runs of records of a key with no gap of `gap` between them."""
-    return stream.withWatermark(time, late).groupBy(F.col(key), F.session_window(time, gap).alias("window")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def without_copies(stream: DataFrame, keys: list[str], time: str, late: str = "2 days") -> DataFrame:
-    """Drops records delivered again within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

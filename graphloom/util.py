@@ -16,21 +16,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` once, write it as a table to the shared folder and read it from there: a lineage cut that survives the loss of executors.
-
-    A table rather than a checkpoint, for it is stored in compressed columns and later reads prune them. The folder is the one the session names in spark.checkpoint.dir; only where that is unset (tests, one
-    machine) is a folder of our own set. Tables are removed at the end of the `scratch` block that they were written in, by `release`, or when
-    the session's JVM ends.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The shared folder: the one the session names in spark.checkpoint.dir; only where that is unset (tests, one machine) one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute `df` once, write it as a table to the shared folder and read it from there: a lineage cut that survives the loss of executors.
+
+    A table rather than a checkpoint, for it is stored in compressed columns and later reads prune them. Tables are removed at the end of the
+    `scratch` block that they were written in, by `release`, or when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _filesystem(sc, path).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(path))
     _written().append(path)

@@ -161,7 +161,8 @@ def test_stream_of_documents(spark, tmp_path):
     import os
 
     from graphloom.util import cut
-    from graphloom.streaming.batches import each_batch, run_stream, sessions, type_counts, without_copies
+    from graphloom.streaming.batches import each_batch, run_stream
+    from graphloom.streaming.counts import sessions, type_counts, without_copies
 
     src = tmp_path / "in"
     spark.createDataFrame([(1, "Pollination matters. Orchards flourish, orchards flower."), (2, "")], "doc_id bigint, text string").write.parquet(str(src / "a"))
@@ -201,6 +202,14 @@ def test_levels(spark):
     assert {tuple(r) for r in n.collect()} == {(1, "2:x", 2), (1, "2:y", 1)}
     assert {tuple(r) for r in e.collect()} == {(1, "2:x", "2:y", "t", 1)}
     assert lineage.count() == 3
+    up = spark.createDataFrame([("x", "top"), ("y", "top"), ("top", None)], "concept_id string, parent string")
+    n, e, lineage = abstraction.levels(nodes, edges, of, up)
+    assert {tuple(r) for r in n.where("level > 0").collect()} == {(1, 1, "1:x"), (1, 1, "1:y"), (2, 1, "2:top")}
+    assert {(r["level"], r["n_base"]) for r in e.where("level > 0").collect()} == {(1, 1)} and lineage.count() == 3 + 2
+    with pytest.raises(RuntimeError):
+        abstraction.levels(nodes, edges, of, spark.createDataFrame([("x", "y"), ("y", "x")], "concept_id string, parent string"))
+    f = spark.createDataFrame([(1, "p", 3), (1, "q", 4), (2, "z", 1)], "doc_id bigint, motif string, n bigint")
+    assert {r["doc_id"]: list(r["vector"]) for r in abstraction.motif_vectors(f, ["p", "q", "r"]).collect()} == {1: [0.6, 0.8, 0.0], 2: [0.0, 0.0, 0.0]}
 
 
 def test_model_client():
