@@ -34,9 +34,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every source_text: at most 4,000 characters, up to 200 of overlap. Copies of a request count once; another text of the same request is cut too."""
-    rows = read(spark, sf_dir, "extraction_requests").select("doc_id", "source_text").distinct()
-    return split_texts(rows, "doc_id", "source_text", 4000, 200)
+    """Pieces of every source_text: at most 4,000 characters, up to 200 of overlap. Copies of a request count once; another text of the same request is cut too, under its own text_no."""
+    rows = read(spark, sf_dir, "extraction_requests").select("doc_id", "source_text").distinct().where("source_text is not null")
+    keyed = rows.select(F.struct("doc_id", F.xxhash64("source_text").alias("text_no")).alias("k"), "source_text")
+    return split_texts(keyed, "k", "source_text", 4000, 200).select("k.*", "piece_no", "n_pieces", "begin", "end", "piece")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(rows, "doc_id", "source_text", 4000, 200).where("n_pieces > 1").select("doc_id").distinct()
 
 
+def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text put together again from its pieces: its hash, the fewest pieces that it can have, and whether all pieces keep limit, overlap and order."""
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", "begin", "end", "piece")))
+    rows = p3_pieces(spark, sf_dir).withColumn("own", F.sha2("piece", 256)).groupBy("doc_id", "text_no", "n_pieces").agg(parts.alias("p"))
+    fresh = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.get("p", i - 1)["end"] - x["begin"] + 1, F.lit(1 << 30))))
+    good = F.forall(F.sequence(F.lit(0), F.col("n_pieces") - 1), lambda i: (F.length(F.get("p", i)["piece"]) <= 4000) & ((i == 0) | (F.get("p", i - 1)["end"] - F.get("p", i)["begin"]).between(0, 200)))
+    size = F.length(F.array_join(fresh, ""))
+    fewest = F.when(size <= 4000, 1).otherwise(1 + F.ceil((size - 4000) / 3800)).cast("int")
+    return rows.select("doc_id", F.sha2(F.array_join(fresh, ""), 256).alias("source_sha256"), fewest.alias("fewest"), (good & (F.size("p") == F.col("n_pieces"))).alias("good")).distinct()
+
+
 def _related(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return NearDuplicates(read(spark, sf_dir, "extraction_requests"), "doc_id", "source_text", k=3, percent=70, min_words=20)
 
@@ -142,7 +154,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether decoding the ids of a document gives its text back."""
-    return round_trip(read(spark, sf_dir, "documents"))
+    return round_trip(read(spark, sf_dir, "documents")).select("doc_id", "same")
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
@@ -160,6 +172,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report()
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed source with its documents, and whether the mixture keeps its repeats and comes within one document of the tokens it is to supply."""
+    m = _mixture(spark, sf_dir)
+    goals = m.plan.select("source", (F.col("tokens") * (F.col("whole") + F.col("fraction"))).alias("goal"))
+    largest = m.rows.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    met = m.report().join(goals, "source").join(largest, "source", "left")
+    kept = (F.abs(F.col("tokens_used") - F.col("goal")) <= F.coalesce("largest", F.lit(0)) + 1) & (F.col("most_copies") <= F.col("max_repeats"))
+    return met.select("source", "target_share", "max_repeats", "n_docs", kept.alias("kept"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are keyword, link, navigation or tag lists inside cues."""
     return spam(read(spark, sf_dir, "documents"))
@@ -172,8 +194,8 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_forms": p1_forms,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_whole": p3_whole, "p4_found": p4_found, "p4_groups": p4_groups,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
-    "p6_found": p6_found, "p6_values": p6_values, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p6_found": p6_found, "p6_values": p6_values, "p7_found": p7_found, "p7_terms": p7_terms, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_report": p9_report, "p9_checks": p9_checks,
     "p10_found": p10_found, "p10_scores": p10_scores,
 }

