@@ -196,7 +196,8 @@ def node_adjacency(spark, d):
 
 
 def node_requests(spark, d):
-    rows = context.node_requests(*Tables(spark, d).typed())
+    nodes, edges = Tables(spark, d).typed()
+    rows = context.node_requests(nodes, cut(edges))  # read for the counts of hubs and for the lists
     return rows.select("doc_id", "id", "raw_mention", "ontology_type", "canonical_name", "page", F.array_join("incoming_relations.id", ",").alias("incoming"), F.array_join("outgoing_relations.id", ",").alias("outgoing"))
 
 
