@@ -88,12 +88,12 @@ def characters(text: str) -> str:
     out: list[str] = []
     for i, c in enumerate(text):
         if ord(c) in IGNORABLE:
-            before = out[-1] if out else ""
+            before = out[-1][-1] if out else ""  # a plain form may be of several characters
             if c == ZWNJ and before and _arabic(before) and before not in _UNJOINED:
                 after = next((x for x in text[i + 1 :] if ord(x) not in IGNORABLE), "")
                 if after and _arabic(after):
                     out.append(c)
-            elif before and ord(before[-1]) >= 0x2600 and unicodedata.category(before[-1]) in ("So", "Sk") and (c == ZWJ or ord(c) == 0xFE0F):
+            elif before and ord(before) >= 0x2600 and unicodedata.category(before) in ("So", "Sk") and (c == ZWJ or ord(c) == 0xFE0F):
                 out.append(c)
             continue
         out.append(plain(c))

@@ -42,6 +42,23 @@ def test_left_alone(scores, text):
     assert o.one_form(text, scores) == text
 
 
+OPENED = [0x2161, 0x2163, 0xFB00, 0xFB03, 0xFB06, 0x132, 0x1C4, 0x587, 0x958]  # one character, shown as several
+
+
+@pytest.mark.parametrize("code", OPENED)
+@pytest.mark.parametrize("after", [[0x200C], [0x200C, 0x200D], [0x200B, 0x200C], [0xFE0F]])
+def test_nothing_shown_after_an_opened_sign(scores, code, after):
+    text = "Far " + _c(code) + "{} barn"
+    assert o.one_form(text.format(_c(*after)), scores) == o.one_form(text.format(""), scores)
+
+
+def test_non_joiner_after_an_opened_arabic_letter(scores):
+    alef, meem = _c(0x0627), _c(0x0645)
+    assert o.characters(_c(0x0678, 0x200C) + meem) == o.characters(_c(0x064A, 0x0674, 0x200C) + meem) == _c(0x064A, 0x0674, 0x200C) + meem  # as if it had been written in two letters
+    assert o.characters(_c(0x0678, 0x200C) + "b") == _c(0x064A, 0x0674) + "b"
+    assert o.characters(alef + _c(0x200C) + meem) == alef + meem
+
+
 def test_table(spark):
     rows = [("1", "h" + _c(0x435) + "dge", None), ("2", "", "hedge"), (None, "hedge", "a" + _c(0xA0)), ("1", "h" + _c(0x435) + "dge", None), ("3", "x" * 100_000 + _c(0x200B), "z")]
     df = spark.createDataFrame(rows + [("w", w, w) for w in WORDS], "entity_id string, mention_text string, evidence string").selectExpr("*", "5 as __odd2")
